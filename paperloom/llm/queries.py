@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, exact_dedup, packing, simhash, winnow
+from . import bitplanes, exact_dedup, language, packing, quality, secrets, simhash, winnow
 from .tokens import vocabulary
 
 
@@ -40,7 +40,39 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_planes, op2_packing, op3_simhash, op4_winnowing, op8_bloom_dedup)}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores by averaged subword embeddings, trained outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    fold = quality.fold_of("doc_id", 4)
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), where=fold != 2)
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of whole texts under the maximum-entropy model and the unigram base."""
+    docs = _table(spark, sf_dir, "documents")
+    model, counts, tokens, distinct = language.train(docs, folds=7, held=2)
+    return language.score(docs, model, counts, tokens, distinct, folds=7, held=2)
+
+
+def _listed(spans, kinds) -> Column:
+    """Spans as kind:start:end, comma-joined; struct order is start, kind, end."""
+    names = F.array(*[F.lit(k) for k in secrets.KINDS])
+    own = F.filter(spans, lambda s: s["kind"] < kinds)
+    return F.array_join(F.transform(own, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by fixed patterns and a conditional random field."""
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    spans = F.col("spans")
+    count = [F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *count, F.sha2(_listed(spans, 3), 256).alias("base_sha256"), _listed(spans, 9).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_planes, op2_packing, op3_simhash, op4_winnowing, op6_quality, op8_bloom_dedup, op9_language_model, op10_secrets)}
 
 ORACLE_SQL = {
     "op8_bloom_dedup": """

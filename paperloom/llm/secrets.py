@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, batch_of, mix, prefix_hashes, span_hashes, text_blocks
@@ -302,8 +302,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     rows = docs.select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "h long, some boolean, f binary, y binary")
     windows = []
-    some, none = (rows.filter(c).orderBy("h", "f").limit(sample) for c in ("some", "not some"))
-    for r in sorted(some.unionByName(none).toArrow().to_pylist(), key=lambda r: (r["h"], r["f"])):
+    order = Window.partitionBy("some").orderBy("h", "f")  # a partial top-k before the shuffle
+    top = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample)
+    for r in sorted(top.toArrow().to_pylist(), key=lambda r: (r["h"], r["f"])):
         y = np.frombuffer(r["y"], np.int8).astype(np.int64)
         if y[0] == 2:
             y[0] = 1
