@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, exact_dedup, language, packing, quality, secrets, simhash, winnow
+from . import bitplanes, exact_dedup, language, packing, quality, repeats, secrets, simhash, winnow
 from .tokens import vocabulary
 
 
@@ -35,6 +35,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 100-byte strings that occur earlier, by a run-length index."""
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"), length=100).drop("spans")
+
+
 def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates behind a two-pass Bloom filter."""
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
@@ -72,7 +77,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(_listed(spans, 3), 256).alias("base_sha256"), _listed(spans, 9).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_planes, op2_packing, op3_simhash, op4_winnowing, op6_quality, op8_bloom_dedup, op9_language_model, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_token_planes, op2_packing, op3_simhash, op4_winnowing, op6_quality, op7_repeats, op8_bloom_dedup, op9_language_model, op10_secrets)}
 
 ORACLE_SQL = {
     "op8_bloom_dedup": """
