@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, IS_BLANK, batch_of, text_blocks, words_of, written
+from .common import ASCII_LOWER, IS_BLANK, batch_of, mix, prefix_hashes, span_hashes, text_blocks, words_of, written
 
 #: Fingerprints whose variants one prefix group sorts at once, on average.
 GROUP = 2048
@@ -92,7 +92,7 @@ def _masks(bits: list[int], flips: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(bits, k)], np.uint64)
 
 
-def _links(fp: np.ndarray, node: np.ndarray, left: np.ndarray, free: list[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(fp: np.ndarray, node: np.ndarray, left: np.ndarray, free: list[int], radius: int, ahead: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Links among fingerprints of one prefix, of which ``left`` flips of the ``free`` bits remain."""
     every = sum(1 << b for b in free)
     masks = [_masks(free, k) for k in range(int(left.max()) + 1)]
@@ -104,7 +104,7 @@ def _links(fp: np.ndarray, node: np.ndarray, left: np.ndarray, free: list[int],
             flipped = ((fp >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) != side
             stay = left >= flipped
             if stay.sum() > 1:
-                x, y = _links(fp[stay], node[stay], (left - flipped)[stay], rest, radius)
+                x, y = _links(fp[stay], node[stay], (left - flipped)[stay], rest, radius, ahead)
                 a.append(x)
                 b.append(y)
         return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
@@ -116,15 +116,22 @@ def _links(fp: np.ndarray, node: np.ndarray, left: np.ndarray, free: list[int],
     variant, own = np.concatenate(variants), np.concatenate(owner)
     order = np.argsort(variant)
     variant, own = variant[order], own[order]
-    same = np.flatnonzero(variant[1:] == variant[:-1])
-    pairs = np.unique(np.stack([np.minimum(own[same], own[same + 1]), np.maximum(own[same], own[same + 1])], 1), axis=0)
+    met = []
+    for k in range(1, ahead + 1):
+        same = np.flatnonzero(variant[k:] == variant[:-k])
+        met.append(np.stack([np.minimum(own[same], own[same + k]), np.maximum(own[same], own[same + k])], 1))
+    pairs = np.unique(np.concatenate(met), axis=0)
     near = np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]]) <= radius
     pairs = pairs[near]
     return node[pairs[:, 0]], node[pairs[:, 1]]
 
 
-def ball_links(distinct: DataFrame, radius: int = 4, group: int = GROUP) -> DataFrame:
-    """Links (a, b) that connect all fingerprints at ``radius`` or less, from distinct (fp, node)."""
+def ball_links(distinct: DataFrame, radius: int = 4, group: int = GROUP, ahead: int = 1) -> DataFrame:
+    """Links (a, b) that connect all fingerprints at ``radius`` or less, from distinct (fp, node).
+
+    Each member of a variant is linked to the ``ahead`` next ones: one keeps all connected;
+    more give a later check of the texts a choice of pairs.
+    """
     half = radius // 2
     if radius % 2:
         half += 1
@@ -153,7 +160,7 @@ def ball_links(distinct: DataFrame, radius: int = 4, group: int = GROUP) -> Data
         fp = table.column("fp").to_numpy().view(np.uint64)
         if len(fp) < 2:
             return linked.empty_table()
-        a, b = _links(fp, table.column("node").to_numpy(), table.column("left").to_numpy().astype(np.int64), free, radius)
+        a, b = _links(fp, table.column("node").to_numpy(), table.column("left").to_numpy().astype(np.int64), free, radius, ahead)
         return pa.table({"a": a, "b": b}, schema=linked)
 
     rows = distinct.select("fp", "node").mapInArrow(send, "prefix long, fp long, node long, left byte")
@@ -192,3 +199,96 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(ball_links(distinct.filter("node is not null"), radius))
     named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return fps.join(named, "fp", "left").select("id", "fp", "component")
+
+
+def word_set_fingerprints(docs: DataFrame, id_col: str, text_col: str, tables: int) -> DataFrame:
+    """(id, fps array<long>): ``tables`` fingerprints of the set of lower-cased words of each row."""
+    schema = pa.schema([("id", pa.int64()), ("fps", pa.list_(pa.int64()))])
+    seeds = mix(np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def run(batches):
+        for rows, data, offsets in text_blocks(batches, "text"):
+            low, n = ASCII_LOWER[data], len(offsets) - 1
+            starts, ends, first = words_of(low, offsets, IS_BLANK)
+            h = span_hashes(prefix_hashes(low), starts, ends)
+            doc = np.repeat(np.arange(n), np.diff(first))
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
+            h, doc = h[new], doc[new]
+            size = np.bincount(doc, minlength=n)
+            fps = np.zeros((n, tables), np.uint64)
+            for t, seed in enumerate(seeds):
+                votes = np.zeros((n, 64), np.int64)
+                for lo in range(0, len(h), 1 << 16):
+                    part, own = mix(h[lo : lo + (1 << 16)] ^ seed), doc[lo : lo + (1 << 16)]
+                    bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    votes[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
+                fps[:, t] = np.packbits(votes * 2 > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+            flat = pa.array(fps.view(np.int64).ravel())
+            yield batch_of(schema, id=rows.column(0), fps=pa.ListArray.from_arrays(np.arange(0, n * tables + 1, tables, dtype=np.int32), flat))
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fps array<long>")
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, grams binary): sorted distinct 64-bit hashes of the word shingles of each row."""
+    schema = pa.schema([("id", pa.int64()), ("grams", pa.binary())])
+
+    def run(batches):
+        for rows, data, offsets in text_blocks(batches, "text"):
+            low = ASCII_LOWER[data]
+            starts, ends, first = words_of(low, offsets, IS_BLANK)
+            h = span_hashes(prefix_hashes(low), starts, ends)
+            out = []
+            for a, b in zip(first.tolist(), first[1:].tolist()):
+                w = h[a:b]
+                k = min(shingle, len(w))
+                g = w[: len(w) - k + 1].copy()
+                for j in range(1, k):
+                    g = g * np.uint64(0xD6E8FEB86659FD93) + w[j : len(w) - k + 1 + j]
+                out.append(np.unique(mix(g)).tobytes() if k else b"")
+            yield batch_of(schema, id=rows.column(0), grams=out)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, grams binary")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, radius: int = 4, ahead: int = 2) -> DataFrame:
+    """(node, component) of ids linked by a Jaccard similarity of word shingles of ``similarity`` or more.
+
+    At such a similarity the fingerprints of shingles differ in ten bits or so, beyond the
+    reach of balls. The sets of distinct words differ less, so candidates are pairs whose
+    word-set fingerprints lie within ``radius`` in any of ``tables`` independent tables, found by
+    ball hashing; every candidate is then verified on whole shingle sets. On the test tables
+    eight tables found every pair of 0.8 or more. Rows that share an id count as one document.
+    """
+    fps = written(word_set_fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, tables), "fingerprints")
+    links = None
+    for t in range(tables):
+        some = ball_links(fps.select(F.col("fps")[t].alias("fp"), F.col("id").alias("node")), radius, ahead=ahead)
+        links = some if links is None else links.unionByName(some)
+    links = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes, "id", "left_semi")
+    grams = written(shingle_sets(texts, "id", "text", shingle), "shingles")
+    pairs = links.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield batch_of(schema, a=batch.column(0).filter(mask), b=batch.column(1).filter(mask))
+
+    return components(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` less those whose group (see :func:`similar_groups`) has a smaller id; null ids stay."""
+    gone = similar_groups(docs, id_col, text_col, **options).filter("node <> component").select(F.col("node").alias("__loom_gone"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__loom_gone"), "left_anti")

@@ -180,4 +180,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ((F.size("hit") > 0) & (F.size("hit") * 20 >= F.col("n_words"))).alias("contaminated"), "items")
 
 
-__all__ = ["Index", "contaminated", "gram_hashes", "winnowed"]
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = K, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns, in one pass a block."""
+    spark, hits, names = docs.sparkSession, "__loom_hits", docs.columns
+    rows = docs.withColumn(hits, F.array().cast("array<long>"))
+    at = names.index(text_col)
+    blocks = list(_blocks(benchmark, item_col, item_text, block))
+    for number, items in enumerate(blocks):
+        index = spark.sparkContext.broadcast(Index(items, window, k))
+        last = number == len(blocks) - 1
+
+        def run(batches, index=index, last=last):
+            for b in batches:
+                for part, data, offsets in text_blocks(iter([b.rename_columns([*(f"c{i}" for i in range(at)), "text", *(f"c{i}" for i in range(at + 1, b.num_columns))])]), "text"):
+                    n, found = index.value.hits(data, offsets)
+                    old = part.column(part.num_columns - 1).to_pylist()
+                    new = [sorted(set(o).union(found[i][0])) if i in found else o for i, o in enumerate(old)]
+                    part = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(new, pa.list_(pa.int64()))], names=[*names, hits])
+                    if last:
+                        part = part.filter(pa.array([not (x and 20 * len(x) >= m) for x, m in zip(new, n.tolist())]))
+                    yield part
+
+        rows = rows.mapInArrow(run, rows.schema)
+        if not last:
+            rows = written(rows, "winnowed")
+    return rows.drop(hits)
+
+
+__all__ = ["Index", "clean", "contaminated", "gram_hashes", "winnowed"]
