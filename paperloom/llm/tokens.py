@@ -2,20 +2,24 @@
 
 Both vocabularies split a text before they merge, and never across the points used here,
 so the ids of a text are those of its pieces in turn. Pieces repeat, so each worker asks the
-tokenizer for a piece once and keeps the ids; the cache is emptied when ``CACHE`` pieces are
-held, which changes no result.
+tokenizer for a piece once and keeps the ids; the cache is cut back to ``CORE`` pieces when
+``CACHE`` are held, which changes no result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 
-CACHE = 700_000
-#: A blank that another blank or the end follows: byte-level pieces then need more care.
-_RUN = re.compile(r" (?:\s|\Z)|[\x1c-\x1f]")
+CACHE = 1_300_000
+#: Pieces, the first that were met and so mostly frequent ones, that stay when it is emptied.
+CORE = 300_000
+#: Marks the piece that begins a text, which has no blank before it.
+_HEAD = "\0"
+
+_CLOSING = (".", ",")
 
 _cache: dict[str, tuple[object, dict[str, bytes]]] = {}
 
@@ -28,11 +32,17 @@ def vocabulary(name: str) -> str:
 
 
 def _byte_level(text: str) -> list[str]:
-    """Pieces that each begin at a single blank before a word: byte-level splitting always cuts there."""
-    if _RUN.search(text):
-        return [text]
-    head, *rest = text.split(" ")
-    return [head, *[" " + w for w in rest]]
+    """Pieces that each follow a single blank: byte-level splitting cuts before a blank and a word."""
+    if _HEAD in text:
+        return [""]
+    pieces = text.split(" ")
+    pieces[0] = _HEAD + pieces[0]
+    return pieces
+
+
+def _unsafe(piece: str) -> bool:
+    """Whether a text with this byte-level piece may be split elsewhere: blanks in a row, or at its end."""
+    return not piece or piece[0].isspace()
 
 
 def _word_level(text: str) -> list[str]:
@@ -55,19 +65,39 @@ def id_bytes(path: str) -> Callable[[list[str]], list[bytes]]:
         tok.encode_special_tokens = True
         _cache[path] = (tok, {})
     tok, known = _cache[path]
-    split = _byte_level if type(tok.pre_tokenizer).__name__ == "ByteLevel" else _word_level if tok.pre_tokenizer.__class__.__name__ == "Sequence" else None
+    byte_level = type(tok.pre_tokenizer).__name__ == "ByteLevel"
+    split = _byte_level if byte_level else _word_level
+
+    def ids_of(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(new: list[str]) -> None:
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            source = [p[1:] if p[0] == _HEAD else " " + p for p in part] if byte_level else part
+            known.update(zip(part, ids_of(source)))
 
     def encode(texts: list[str]) -> list[bytes]:
-        pieces = [split(t) if split else [t] for t in texts]
-        new = {p for ps in pieces for p in ps if p not in known}
+        pieces = [split(t) for t in texts]
+        new = set().union(*pieces).difference(known)
         if len(known) + len(new) > CACHE:
+            kept = dict(islice(known.items(), CORE))
             known.clear()
-            new = {p for ps in pieces for p in ps}
-        ordered = list(new)
-        for lo in range(0, len(ordered), 4096):
-            part = ordered[lo : lo + 4096]
-            for p, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
-
+            known.update(kept)
+            new = set().union(*pieces).difference(known)
+        # texts with unsafe pieces, which are never kept, go to the tokenizer whole
+        unsafe = {p for p in new if _unsafe(p)} if byte_level else set()
+        new -= unsafe
+        # a word and the one mark that closes it are split apart by the tokenizer as well
+        closed = [p for p in new if p[-1:] in _CLOSING and p[:-1].isalpha()]
+        new.difference_update(closed)
+        new.update({p[:-1] for p in closed}.difference(known))
+        learn(list(new))
+        for p in closed:
+            known[p] = known[p[:-1]] + marks[p[-1]]
+        if not unsafe:
+            return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        return [b"".join(map(known.__getitem__, ps)) if unsafe.isdisjoint(ps) else ids_of([t])[0] for t, ps in zip(texts, pieces)]
+
+    marks = dict(zip(_CLOSING, ids_of(list(_CLOSING))))
     return encode
