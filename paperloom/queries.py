@@ -443,7 +443,7 @@ def round_robin_order(spark, sf_dir):
 # ---- pages and agents ----------------------------------------------------------------------
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
 def page_title(spark, sf_dir):
     """DOM-06, FLT-07."""
     return extract.page_records(table(spark, sf_dir, "pages"), any_paragraph=True).select(F.col("paper_id").cast("long").alias("page_id"), "title")
