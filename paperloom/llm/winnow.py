@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, NOT_ALNUM, batch_of, mix, prefix_hashes, span_hashes, text_blocks, words_of
+from .common import ASCII_LOWER, NOT_ALNUM, batch_of, mix, prefix_hashes, span_hashes, text_blocks, words_of, written
 
 K = 6
 BLOCK = 8 << 20
