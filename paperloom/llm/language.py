@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, IS_BLANK, batch_of, mix, prefix_hashes, span_hashes, text_blocks, words_of, written
@@ -93,6 +93,7 @@ class Model:
     spell_total: np.ndarray  # log10 of tokens + distinct + 1, by spelling class
     heavy: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     heavy_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    cut: int = 0  # the lowest level of counts among the heavy
 
     def ids(self, s: Stream) -> tuple[np.ndarray, np.ndarray]:
         """The number of each token (a frequent word's, else WORDS + spelling) and its class."""
@@ -149,6 +150,11 @@ def local_steps(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, f: np.n
         weights[r] -= g / size[:, None] * np.minimum(1.0, 1.2 * size / np.sqrt(seen[r] + 4))[:, None]
 
 
+def _level() -> Column:
+    """A count on a scale of sixteen steps an octave."""
+    return F.floor(F.log2("c") * 16).cast("int")
+
+
 def count_tokens(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
     """(h, spelling, c): every token of the training texts with its count."""
     schema = pa.schema([("h", pa.int64()), ("spelling", pa.int8()), ("c", pa.int64())])
@@ -205,7 +211,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     counts = written(count_tokens(docs, id_col, text_col, folds, held), "counts")
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     tokens, distinct = int(totals[0] or 0), int(totals[1])
-    heavy = counts.orderBy(F.desc("c"), "h").limit(HEAVY).toArrow()
+    # heavy: all tokens from a level of counts up, the lowest level that leaves no more than HEAVY
+    levels = sorted(((r["level"], r["n"]) for r in counts.groupBy(_level().alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    cut, held_n = 1 << 30, 0
+    for level, n in levels:
+        held_n += n
+        if held_n > HEAVY:
+            break
+        cut = level
+    heavy = counts.filter(_level() >= cut).toArrow()
     hh, hc = heavy.column("h").to_numpy().view(np.uint64), heavy.column("c").to_numpy()
     order = np.lexsort((hh, -hc))
     hh, hc = hh[order], hc[order]
@@ -262,7 +276,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     for _ in range(rounds):
         _round(rows, model, folds, held)
     by = np.argsort(hh)
-    model.heavy, model.heavy_count = hh[by], hc[by]
+    model.heavy, model.heavy_count, model.cut = hh[by], hc[by], cut
     return model, counts, tokens, distinct
 
 
@@ -380,9 +394,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tokens: int, distinc
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = written(rows.mapInArrow(run, "doc_id long, rid long, held_out boolean, n_tokens long, known long, logs double, own double, base double, rare array<long>, times array<int>"), "parts")
-    least = int(model.heavy_count.min()) if len(model.heavy_count) >= HEAVY else 0
-    # a token of the tail is none of the heavy ones, so its count is at most their least
-    tail = counts.filter(F.col("c") <= least).select("h", "c") if least else counts.limit(0).select("h", "c")
+    tail = counts.filter(_level() < model.cut).select("h", "c")
     asked = parts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
     found = asked.join(tail, "h").groupBy("rid").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"), F.sum("k").alias("seen"))
     whole = F.coalesce(F.col("more"), F.lit(0.0))
