@@ -18,11 +18,12 @@ case is that of ASCII; a text without tokens is skipped; a field that saw no spa
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, batch_of, mix, prefix_hashes, span_hashes, text_blocks
@@ -278,11 +279,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """Fit on windows of at most ``sample`` texts with base spans and as many without, by hash of their id."""
     schema = pa.schema([("h", pa.int64()), ("some", pa.bool_()), ("f", pa.binary()), ("y", pa.binary())])
 
+    def least(rows: list[tuple]) -> list[tuple]:
+        """The ``sample`` rows of either kind with the smallest hash."""
+        rows.sort(key=lambda r: (r[1], r[0], r[2]))
+        with_spans = [r for r in rows if r[1]]
+        return with_spans[:sample] + [r for r in rows if not r[1]][:sample]
+
+    def emitted(rows: list[tuple]) -> pa.RecordBatch:
+        return batch_of(schema, **{f.name: list(c) for f, c in zip(schema, zip(*rows) if rows else [[]] * 4)})
+
     def cut(batches):
+        kept: list[tuple] = []
         for b, data, offsets in text_blocks(batches, "text"):
             tok, found = tokens_of(data, offsets), _block_base(data, offsets)
             first = np.searchsorted(tok.doc, np.arange(len(found) + 1))
-            h, some, fs, ys = [], [], [], []
             for i, f in enumerate(found):
                 lo, hi = int(first[i]), int(first[i + 1])
                 if lo == hi:
@@ -290,21 +300,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 o = int(offsets[i])
                 y = _labels(tok, [(a + o, k, e + o, s + o) for a, k, e, s in f])[lo:hi] if f else np.zeros(hi - lo, np.int8)
                 hot = np.flatnonzero(y)
-                key = b.column(0)[i].as_py() or 0
+                key = b.column(0)[i].as_py()
                 mid = int(hot[0]) if len(hot) else key % (hi - lo)
                 a = max(0, min(mid - WINDOW // 2, hi - lo - WINDOW))
                 z = min(hi - lo, a + WINDOW)
-                h.append(key)
-                some.append(bool(len(hot)))
-                fs.append(np.stack([x[lo + a : lo + z] for x in tok.features]).astype(np.int32).tobytes())
-                ys.append(y[a:z].tobytes())
-            yield batch_of(schema, h=h, some=some, f=fs, y=ys)
-
-    rows = docs.select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "h long, some boolean, f binary, y binary")
+                kept.append((key, bool(len(hot)), np.stack([x[lo + a : lo + z] for x in tok.features]).astype(np.int32).tobytes(), y[a:z].tobytes()))
+            kept = least(kept)
+        yield emitted(kept)
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        for b in batches:
+            kept = least(kept + list(zip(*(b.column(f.name).to_pylist() for f in schema))))
+        yield emitted(kept)
+
+    # each task sends its smallest; two levels of merges hold no more than the sample
+    form = "h long, some boolean, f binary, y binary"
+    rows = docs.select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, form)
+    some = rows.withColumn("part", F.spark_partition_id() % 32).groupBy("part").applyInArrow(merge, form).withColumn("part", F.lit(0)).groupBy("part").applyInArrow(merge, form)
     windows = []
-    order = Window.partitionBy("some").orderBy("h", "f")  # a partial top-k before the shuffle
-    top = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample)
-    for r in sorted(top.toArrow().to_pylist(), key=lambda r: (r["h"], r["f"])):
+    for r in sorted(some.toArrow().to_pylist(), key=lambda r: (r["h"], r["f"])):
         y = np.frombuffer(r["y"], np.int8).astype(np.int64)
         if y[0] == 2:
             y[0] = 1
