@@ -106,20 +106,21 @@ class RunIndex:
         key = np.zeros(n, np.uint64)
         for j in range(8):
             key = (key << np.uint64(8)) | padded[j : j + n]
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key, kind="stable").astype(np.int32)  # a shard's text is far below 2 GB
         # the rank of a suffix is the first slot of its class, from 1; past the end it is 0
-        rank = np.zeros(n + 1, np.int64)
-        slots, sorted_key, step = np.arange(n), key[sa], 8
+        rank = np.zeros(n + 1, np.int32)
+        slots, sorted_key, step = np.arange(n, dtype=np.int32), key[sa], 8
         while len(slots):
             new = np.append(True, (sorted_key[1:] != sorted_key[:-1]))
-            head = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
-            rank[sa[slots]] = head + 1
+            rank[sa[slots]] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots), dtype=np.int32), 0))] + 1
             alone = new & np.append(new[1:], True)
             slots = slots[~alone]
             own = sa[slots]
-            key = (rank[own] << 32) | rank[np.minimum(own + step, n)]
+            key = rank[own].astype(np.int64) << 32
+            key |= rank[np.minimum(own + np.int32(step), np.int32(n))]
             order = np.argsort(key, kind="stable")
             sa[slots], sorted_key = own[order], key[order]
+            del order
             step *= 2
         bwt = padded[sa - 1] if n else text
         # a run ends where the letter changes; the text's first suffix is a run of its own
@@ -148,10 +149,13 @@ class RunIndex:
         Between samples both follow from the last one: the neighbour moves along, and the match
         shrinks by one.
         """
-        last = np.searchsorted(self.sample, np.arange(self.n), "right") - 1
-        gone = np.arange(self.n) - self.sample[last]
-        neighbour = np.where(self.before[last] >= 0, self.before[last] + gone, -1)
-        return neighbour, np.maximum(0, self.match[last] - gone)
+        last = np.zeros(self.n, np.int32)
+        last[self.sample] = 1
+        last = np.cumsum(last, dtype=np.int32) - 1
+        gone = np.arange(self.n, dtype=np.int32) - self.sample.astype(np.int32)[last]
+        before = self.before.astype(np.int32)[last]
+        neighbour = np.where(before >= 0, before + gone, np.int32(-1))
+        return neighbour, np.maximum(0, self.match.astype(np.int32)[last] - gone)
 
 
 def later_strings(text: np.ndarray, length: int, whole: np.ndarray) -> np.ndarray:
@@ -306,8 +310,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         text = np.full(int((size + 1).sum()), 255, np.uint8)
         within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         text[np.repeat(place, size) + within] = raw[np.repeat(begin, size) + within]
-        owner = np.repeat(np.arange(len(size)), size + 1)
-        inside = np.arange(len(text)) - place[owner]
+        del within, raw
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+        inside = np.arange(len(text), dtype=np.int32) - place.astype(np.int32)[owner]
         again = later_strings(text, length, inside <= span[owner])
         at = np.flatnonzero(again)
         if not len(at):
