@@ -30,8 +30,10 @@ from .common import IS_BLANK, batch_of, mix, prefix_hashes, span_hashes, text_bl
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
-SAMPLE = 6000
+SAMPLE = 3000
 DIM = 12
+#: Bytes of text whose n-grams a worker expands at once.
+BLOCK = 1 << 19
 EPOCHS = 6
 RATE = 0.6
 
@@ -64,7 +66,7 @@ def counted(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
     keys = np.concatenate([d * BUCKETS + b for d, b in features(data, offsets)] or [np.zeros(0, np.int64)])
     key, count = np.unique(keys, return_counts=True)
     cut = np.searchsorted(key, np.arange(n + 1) * BUCKETS)
-    return [((key[a:b] % BUCKETS).astype(np.int32), count[a:b].astype(np.int32)) for a, b in zip(cut, cut[1:])]
+    return [((key[a:b] % BUCKETS).astype(np.int32), np.minimum(count[a:b], 65535).astype(np.uint16)) for a, b in zip(cut, cut[1:])]
 
 
 @dataclass
@@ -96,13 +98,13 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    share = [(c / max(1, c.sum())).astype(np.float32) for _, _, c in rows]
     steps, step = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             rate = RATE * (1 - step / steps)
             step += 1
-            bucket, w = rows[i][1], share[i]
+            _, bucket, count = rows[i]
+            w = count / np.float32(count.sum())
             hidden = w @ vectors[bucket]
             z = hidden @ out + bias
             p = np.exp(z - z.max())
@@ -132,14 +134,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        for b, data, offsets in text_blocks(batches, "text"):
+        for b, data, offsets in text_blocks(batches, "text", BLOCK):
             found = counted(data, offsets)
             yield batch_of(schema, id=b.column(0), label=b.column(1), buckets=[x.tobytes() for x, _ in found], counts=[c.tobytes() for _, c in found])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    got = texts.select("id", "label", "text").mapInArrow(run, "id long, label int, buckets binary, counts binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["buckets"], r["counts"]))
-    return fit([(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in got if r["buckets"]])
+    got = texts.select("id", "label", "text").mapInArrow(run, "id long, label int, buckets binary, counts binary").toArrow()
+    ids, labels_of = (got.column(c).to_numpy() for c in ("id", "label"))
+    raw = [_views(got.column(c), kind) for c, kind in (("buckets", np.int32), ("counts", np.uint16))]
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(b"%d" % ids[i]), ids[i], len(raw[0][i]), raw[0][i].tobytes()[:64]))
+    model = fit([(int(labels_of[i]), raw[0][i], raw[1][i]) for i in order if len(raw[0][i])])
+    del got, raw  # the driver keeps nothing of the sample
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def _views(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """Arrays over the bytes of a binary column, without copies."""
+    out = []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        out += [np.frombuffer(data[a:b].data, kind) for a, b in zip(offsets, offsets[1:])]
+    return out
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -152,7 +169,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
         column = pa.array(texts, pa.string(), from_pandas=True)
         batch = pa.RecordBatch.from_arrays([column], ["text"])
-        parts = [shipped.value.probabilities(data, offsets) for _, data, offsets in text_blocks(iter([batch]), "text")]
+        parts = [shipped.value.probabilities(data, offsets) for _, data, offsets in text_blocks(iter([batch]), "text", BLOCK)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(name, run(F.col(text_col)))
