@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, scratch_path, written
+from .common import written
 
 PROBES = 2
 BITS_PER_ROW = 16
@@ -110,5 +110,3 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     more = kept.filter("__loom_top.n > 1").dropDuplicates([id_col, sha]).select(*columns)
     return rows.filter(~F.col(flag)).select(*columns).unionByName(once).unionByName(more)
 
-
-__all__ = ["annotate", "keep", "maybe_repeated", "remove", "repeated_slots", "scratch_path"]

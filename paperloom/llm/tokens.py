@@ -13,9 +13,9 @@ from itertools import islice
 
 import numpy as np
 
-CACHE = 1_300_000
+CACHE = 900_000
 #: Pieces, the first that were met and so mostly frequent ones, that stay when it is emptied.
-CORE = 300_000
+CORE = 250_000
 #: Marks the piece that begins a text, which has no blank before it.
 _HEAD = "\0"
 
