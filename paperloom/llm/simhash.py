@@ -35,6 +35,11 @@ from .common import ASCII_LOWER, IS_BLANK, batch_of, mix, prefix_hashes, span_ha
 GROUP = 2048
 #: Variants a task sorts at once; larger groups are split by further bits.
 MAX_VARIANTS = 8_000_000
+#: Documents whose shingles are counted for the order of prefixes, and the most shingles kept of them.
+SAMPLE = 1 << 15
+MAX_FREQUENT = 1 << 18
+#: Pairs a task lists at once.
+MAX_PAIRS = 1 << 20
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
@@ -254,25 +259,114 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, grams binary")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, radius: int = 4, ahead: int = 2) -> DataFrame:
-    """(node, component) of ids linked by a Jaccard similarity of word shingles of ``similarity`` or more.
+def frequent_grams(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a sample of ``SAMPLE`` documents holds more than once, rarest first: (sorted hashes, their places).
 
-    At such a similarity the fingerprints of shingles differ in ten bits or so, beyond the
-    reach of balls. The sets of distinct words differ less, so candidates are pairs whose
-    word-set fingerprints lie within ``radius`` in any of ``tables`` independent tables, found by
-    ball hashing; every candidate is then verified on whole shingle sets. On the test tables
-    eight tables found every pair of 0.8 or more. Rows that share an id count as one document.
+    They only order the shingles of a set, so any sample gives complete prefixes; a good one gives short groups.
     """
-    fps = written(word_set_fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, tables), "fingerprints")
-    links = None
-    for t in range(tables):
-        some = ball_links(fps.select(F.col("fps")[t].alias("fp"), F.col("id").alias("node")), radius, ahead=ahead)
-        links = some if links is None else links.unionByName(some)
-    links = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes, "id", "left_semi")
-    grams = written(shingle_sets(texts, "id", "text", shingle), "shingles")
-    pairs = links.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    every = max(1, sets.count() // SAMPLE)
+    schema = pa.schema([("gram", pa.int64())])
+
+    def each(batches):
+        for b in batches:
+            yield batch_of(schema, gram=np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))
+
+    some = sets.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("grams").mapInArrow(each, "gram long")
+    top = some.groupBy("gram").count().filter("count > 1").orderBy(F.desc("count"), "gram").limit(MAX_FREQUENT).toArrow()
+    grams, count = top.column("gram").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    place = np.empty(len(grams), np.int64)
+    place[np.lexsort((grams, count))] = np.arange(len(grams))
+    order = np.argsort(grams)
+    return grams[order], place[order]
+
+
+def prefix_grams(sets: DataFrame, similarity: float) -> DataFrame:
+    """(gram, id, size, place): of each set the rarest shingles, as many as let no pair of ``similarity`` escape.
+
+    Of sets of n and m shingles with a Jaccard similarity of t, t * n are shared, so in one common order the first
+    n - t * n + 1 of both have one in common. A set without shingles has gram 0 and size 0.
+    """
+    schema = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+    shared = sets.sparkSession.sparkContext.broadcast(frequent_grams(sets))
+
+    def run(batches):
+        often, rank = shared.value
+        for b in batches:
+            out, length, sizes = [], [], []
+            for g in b.column(1).to_pylist():
+                g = np.frombuffer(g, np.uint64)
+                n = len(g)
+                if len(often) and n:
+                    at = np.minimum(np.searchsorted(often, g), len(often) - 1)
+                    known = often[at] == g
+                    g = np.concatenate([g[~known], g[known][np.argsort(rank[at[known]])]])
+                first = g[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else np.zeros(1, np.uint64)
+                out.append(first)
+                length.append(len(first))
+                sizes.append(n)
+            length = np.array(length, np.int64)
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            yield batch_of(schema, gram=np.concatenate(out).view(np.int64), id=np.repeat(b.column(0).to_numpy(), length), size=np.repeat(np.array(sizes, np.int32), length), place=place.astype(np.int32))
+
+    return sets.select("id", "grams").mapInArrow(run, "gram long, id long, size int, place int")
+
+
+def _possible(size_a, place_a, size_b, place_b, similarity: float) -> np.ndarray:
+    """Whether sets whose first shared shingle has these places can be as similar by size and by what follows."""
+    least = similarity / (1 + similarity) * (size_a + size_b) - 1e-6
+    return (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-6) & (1 + np.minimum(size_a - place_a - 1, size_b - place_b - 1) >= least)
+
+
+def _runs(batches):
+    """Columns of an Arrow stream sorted by its first column, cut where that changes; a run is never split."""
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy() for c in b.columns]
+        at = int(np.searchsorted(cols[0], cols[0][-1]))
+        if at or (held and held[-1][0][-1] != cols[0][0]):
+            held.append([c[:at] for c in cols])
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = [[c[at:] for c in cols]]
+        else:
+            held.append(cols)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) from :func:`prefix_grams`: all that share a shingle there and can be as similar."""
+    linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def meet(batches):
+        for gram, node, size, place in _runs(batches):
+            edge = np.flatnonzero(np.append(gram[1:] != gram[:-1], True)) + 1
+            after = np.repeat(edge, np.diff(edge, prepend=0)) - np.arange(len(gram)) - 1  # members of the run behind each
+            for lo, hi in _pieces(after):
+                n = after[lo:hi]
+                i = np.repeat(np.arange(lo, hi), n)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                ok = _possible(size[i], place[i], size[j], place[j], similarity) & (node[i] != node[j])
+                i, j = node[i[ok]], node[j[ok]]
+                yield batch_of(linked, a=np.minimum(i, j), b=np.maximum(i, j))
+
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(meet, "a long, b long").distinct()
+
+
+def _pieces(n: np.ndarray):
+    """Ranges of ``n`` whose sums stay near ``MAX_PAIRS``."""
+    total, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + MAX_PAIRS, "right")))
+        if total[hi - 1] > (total[lo - 1] if lo else 0):
+            yield lo, hi
+        lo = hi
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) whose whole shingle sets have ``similarity`` or more."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches):
@@ -285,7 +379,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             mask = pa.array(keep, pa.bool_())
             yield batch_of(schema, a=batch.column(0).filter(mask), b=batch.column(1).filter(mask))
 
-    return components(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, radius: int = 4, ahead: int = 2) -> DataFrame:
+    """(node, component) of ids linked by a Jaccard similarity of word shingles of ``similarity`` or more.
+
+    At such a similarity the fingerprints of shingles differ in ten bits or so, beyond the
+    reach of balls. The sets of distinct words differ less, so pairs whose word-set
+    fingerprints lie within ``radius`` in any of ``tables`` independent tables are found by
+    ball hashing. Added or cut text changes even those, so beside them every pair that shares
+    one of its rarest shingles is a candidate (:func:`prefix_grams`), which misses none of
+    ``similarity``. Every candidate is verified on whole shingle sets. Rows that share an id
+    count as one document.
+    """
+    docs = docs.filter(F.col(id_col).isNotNull())
+    fps = written(word_set_fingerprints(docs, id_col, text_col, tables), "fingerprints")
+    links = None
+    for t in range(tables):
+        some = ball_links(fps.select(F.col("fps")[t].alias("fp"), F.col("id").alias("node")), radius, ahead=ahead)
+        links = some if links is None else links.unionByName(some)
+    links = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    sets = written(shingle_sets(docs, id_col, text_col, shingle), "shingles")
+    rows = prefix_grams(sets, similarity)
+    pairs = written(links.unionByName(prefix_pairs(rows, similarity)).distinct(), "candidates")
+    return components(verified(pairs, sets, similarity))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

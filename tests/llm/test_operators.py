@@ -157,6 +157,32 @@ def test_similar_groups(spark):
     assert sorted(r.doc_id for r in sh.keep_one(df).collect()) == list(range(12))
 
 
+def _linked(texts, similarity=0.8, shingle=5):
+    """The smallest number that each text reaches over all pairs of ``similarity``, of those that reach a smaller one; and the pairs."""
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in (t.split() for t in texts)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    root = list(range(len(sets)))
+    for _ in texts:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return {i: r for i, r in enumerate(root) if r < i}, pairs
+
+
+def test_similar_groups_are_complete(spark):
+    rng = random.Random(19)
+    texts = []
+    for i in range(60):  # appended, cut and inserted text of new words at a similarity of 0.80 to 0.85
+        n = 200 + i
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        more = [f"n{rng.randint(0, 10**6)}" for _ in range(int((n - 4) * (0.17 + 0.07 * (i % 10) / 10)))]
+        texts += [" ".join(base), " ".join([base + more, base[: n - int((n - 4) * (0.15 + 0.05 * (i % 10) / 10))], base[: n // 2] + more[4:] + base[n // 2 :]][i % 3])]
+    texts += ["", "  ", "one", "one", "a b c d e", "a b c d e f"]
+    want, pairs = _linked(texts)
+    assert sum(a % 2 == 1 and b == a - 1 for a, b in pairs) >= 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.node: r.component for r in sh.similar_groups(df).collect()} == want
+
+
 def test_winnowing(spark, docs, empty, rows):
     rng = random.Random(3)
     pool = [t.split() for _, t in rows if t and len(t.split()) > 30]
