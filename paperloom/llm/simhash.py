@@ -36,8 +36,10 @@ GROUP = 2048
 #: Variants a task sorts at once; larger groups are split by further bits.
 MAX_VARIANTS = 8_000_000
 #: Documents whose shingles are counted for the order of prefixes, and the most shingles kept of them.
-SAMPLE = 1 << 15
+SAMPLE = 1 << 12
 MAX_FREQUENT = 1 << 18
+#: Documents of one shingle beyond which not all their pairs are listed before some are linked.
+CROWD = 256
 #: Pairs a task lists at once.
 MAX_PAIRS = 1 << 20
 
@@ -335,23 +337,35 @@ def _runs(batches):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) from :func:`prefix_grams`: all that share a shingle there and can be as similar."""
+def prefix_pairs(rows: DataFrame, similarity: float, crowd: int = 0) -> DataFrame:
+    """Candidates (a, b) from (gram, id, size, place, component): all that share a gram, can be as similar and differ in component.
+
+    Of a gram with over ``crowd`` members (0: never) only the pairs of one of them with the others are listed, and the row (gram, null).
+    """
     linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(batches):
-        for gram, node, size, place in _runs(batches):
+        for gram, node, size, place, part in _runs(batches):
             edge = np.flatnonzero(np.append(gram[1:] != gram[:-1], True)) + 1
-            after = np.repeat(edge, np.diff(edge, prepend=0)) - np.arange(len(gram)) - 1  # members of the run behind each
+            count = np.diff(edge, prepend=0)
+            own = np.flatnonzero(np.append((gram[1:] != gram[:-1]) | (part[1:] != part[:-1]), True)) + 1
+            begin = np.repeat(own, np.diff(own, prepend=0))  # the first member behind one's own component
+            after = np.repeat(edge, count) - begin
+            full = count > crowd if crowd else np.zeros(len(count), bool)
+            if full.any():
+                lead = np.zeros(len(gram), bool)
+                lead[(edge - count)[full]] = True
+                after[np.repeat(full, count) & ~lead] = 0
+                yield batch_of(linked, a=gram[edge[full] - 1], b=pa.nulls(int(full.sum()), pa.int64()))
             for lo, hi in _pieces(after):
                 n = after[lo:hi]
                 i = np.repeat(np.arange(lo, hi), n)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                ok = _possible(size[i], place[i], size[j], place[j], similarity) & (node[i] != node[j])
+                j = np.repeat(begin[lo:hi], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                ok = _possible(size[i], place[i], size[j], place[j], similarity)
                 i, j = node[i[ok]], node[j[ok]]
                 yield batch_of(linked, a=np.minimum(i, j), b=np.maximum(i, j))
 
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(meet, "a long, b long").distinct()
+    return rows.select("gram", "id", "size", "place", "component").repartition("gram").sortWithinPartitions("gram", "component").mapInArrow(meet, "a long, b long").distinct()
 
 
 def _pieces(n: np.ndarray):
@@ -382,7 +396,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, radius: int = 4, ahead: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, radius: int = 4, ahead: int = 2, crowd: int = CROWD) -> DataFrame:
     """(node, component) of ids linked by a Jaccard similarity of word shingles of ``similarity`` or more.
 
     At such a similarity the fingerprints of shingles differ in ten bits or so, beyond the
@@ -390,20 +404,38 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprints lie within ``radius`` in any of ``tables`` independent tables are found by
     ball hashing. Added or cut text changes even those, so beside them every pair that shares
     one of its rarest shingles is a candidate (:func:`prefix_grams`), which misses none of
-    ``similarity``. Every candidate is verified on whole shingle sets. Rows that share an id
-    count as one document.
+    ``similarity``. Every candidate is verified on whole shingle sets. A shingle with over
+    ``crowd`` documents first links one of them to the others; then those pairs are listed
+    that are still in different components, so a crowd of copies costs its number and no
+    pair is lost. Rows that share an id count as one document.
     """
-    docs = docs.filter(F.col(id_col).isNotNull())
-    fps = written(word_set_fingerprints(docs, id_col, text_col, tables), "fingerprints")
+    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    fps = written(word_set_fingerprints(docs, "id", "text", tables), "fingerprints")
     links = None
     for t in range(tables):
-        some = ball_links(fps.select(F.col("fps")[t].alias("fp"), F.col("id").alias("node")), radius, ahead=ahead)
+        some = written(ball_links(fps.select(F.col("fps")[t].alias("fp"), F.col("id").alias("node")), radius, ahead=ahead), "links")
+        spark.sparkContext._jvm.System.gc()  # the driver deletes shuffle files of finished jobs only as it collects garbage
         links = some if links is None else links.unionByName(some)
     links = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    sets = written(shingle_sets(docs, id_col, text_col, shingle), "shingles")
-    rows = prefix_grams(sets, similarity)
-    pairs = written(links.unionByName(prefix_pairs(rows, similarity)).distinct(), "candidates")
-    return components(verified(pairs, sets, similarity))
+    rows = prefix_grams(shingle_sets(docs, "id", "text", shingle), similarity)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = written(shingle_sets(docs.join(nodes, "id", "left_semi"), "id", "text", shingle), "shingles")
+        return written(verified(pairs, sets, similarity), "similar")
+
+    pairs = written(links.unionByName(prefix_pairs(rows.withColumn("component", F.col("id")), similarity, crowd)).distinct(), "candidates")
+    spark.sparkContext._jvm.System.gc()
+    linked = similar(pairs.filter("b is not null"))
+    found = components(linked)
+    crowded = pairs.filter("b is null").select(F.col("a").alias("gram"))
+    if crowded.isEmpty():
+        return found
+    found = written(found, "components")
+    members = rows.join(crowded, "gram").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = written(prefix_pairs(members, similarity), "candidates")
+    return found if more.isEmpty() else components(linked.unionByName(similar(more)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from brute import components, contaminated, crc, ids, repeats, simhash, token_planes
 
 from paperloom.llm import bitplanes, exact_dedup, language, packing, quality, secrets, simhash as sh, url_lists, winnow
@@ -183,6 +184,24 @@ def test_similar_groups_are_complete(spark):
     assert {r.node: r.component for r in sh.similar_groups(df).collect()} == want
 
 
+def test_similar_groups_in_crowds(spark):
+    rng = random.Random(29)
+    words, shared = [f"w{i}" for i in range(120)], [f"s{i}" for i in range(100)]
+    decoys = [" ".join(rng.sample(words, 120)) for _ in range(1500)]  # equal word sets, other shingles
+    near = [" ".join(d.split()[60 + i :] + d.split()[: 60 + i]) for i, d in enumerate(decoys[:20])]
+    copies = [" ".join([*shared, f"c{i}"]) for i in range(200)]  # one crowd of near copies
+    mixed = [" ".join(shared[:40] + [f"m{i // 2}_{j}" for j in range(10 + 2 * (i % 2))]) for i in range(60)]  # pairs that share much
+    texts = decoys + near + copies + mixed
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    want, _ = _linked(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.node: r.component for r in sh.similar_groups(df, tables=1, crowd=16).collect()} == want
+    sets = sh.shingle_sets(df, "doc_id", "text", 5)
+    grams = sh.prefix_grams(sets, 0.8).withColumn("component", F.col("id")).filter(F.col("id").isin([i for i, k in enumerate(order) if 1520 <= k < 1720]))
+    assert sh.prefix_pairs(grams, 0.8, crowd=16).filter("b is not null").count() < 200 * 25 < sh.prefix_pairs(grams, 0.8).count()
+
+
 def test_winnowing(spark, docs, empty, rows):
     rng = random.Random(3)
     pool = [t.split() for _, t in rows if t and len(t.split()) > 30]
