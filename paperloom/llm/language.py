@@ -299,8 +299,8 @@ def _fit_inside(model: Model, pairs: np.ndarray, word_count: np.ndarray, steps:
             if len(g):
                 p, seen = np.exp(log_p[:, g]), pairs[:, g]
                 expected = seen.sum(1, keepdims=True) * p
-                # a diagonal Newton step; the prior has weight 2
-                theta[:, g] += 0.5 * (seen - expected - 2 * theta[:, g]) / (expected + 2)
+                # a diagonal Newton step of at most 1, as a count far above what is expected would throw it; the prior has weight 2
+                theta[:, g] += np.clip(0.5 * (seen - expected - 2 * theta[:, g]) / (expected + 2), -1, 1)
     model.inside[:, :n] = log_p
 
 

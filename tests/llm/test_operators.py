@@ -202,6 +202,21 @@ def test_similar_groups_in_crowds(spark):
     assert sh.prefix_pairs(grams, 0.8, crowd=16).filter("b is not null").count() < 200 * 25 < sh.prefix_pairs(grams, 0.8).count()
 
 
+def test_words_within_classes_fit_large_counts():
+    rng = np.random.default_rng(3)
+    words, width = 560, language.CLASSES + 1
+    share = rng.dirichlet(np.full(words, 0.05), width)
+    share = 0.5 * share + 0.5 * share.mean(0)
+    for times in (10**3, 10**6):  # a thousand times the text must not fit worse than the words' own shares
+        pairs = np.round(share * times)
+        cls = np.arange(words) % language.CLUSTERS
+        m = language.Model(np.arange(words, dtype=np.uint64), cls, None, None, np.zeros((width, language.WORDS), np.float32), None)
+        language._fit_inside(m, pairs, pairs.sum(0))
+        log_share = np.log(pairs.sum(0) + 1)
+        log_share -= np.log(np.bincount(cls, np.exp(log_share)))[cls]
+        assert (pairs * m.inside[:, :words]).sum() > (pairs * log_share).sum()
+
+
 def test_winnowing(spark, docs, empty, rows):
     rng = random.Random(3)
     pool = [t.split() for _, t in rows if t and len(t.split()) > 30]
