@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, partitions_for, scratch_path, text_blocks, written
-from .tokens import id_bytes
+from .tokens import BLOCK, encoder
 
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 26
@@ -135,26 +135,26 @@ def read_shard(uri: str):
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, bits: bool = False) -> DataFrame:
     """Tokenise and write shards under ``folder``; returns (part, shard, uri, n_ids), one row per shard, in file order."""
-    end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("uri", pa.string()), ("n_ids", pa.int64())])
 
     def run(batches):
-        encode, part = id_bytes(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).block, TaskContext.get().partitionId()
         writer, shard, made = None, 0, []
 
         def close():
             made.append((part, shard, uri, writer.close()))
 
-        for rows, _, _ in text_blocks(batches, "text"):
-            texts = [t or "" for t in rows.column(1).to_pylist()]
-            for doc, ids in zip(rows.column(0).to_pylist(), encode(texts)):
+        for rows, data, offsets in text_blocks(batches, "text", BLOCK):
+            ids, cuts = encode(data, offsets, end_id)
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            for doc, a, b in zip(rows.column(0).to_pylist(), cuts, cuts[1:]):
                 if writer and writer.n >= shard_ids:
                     close()
                     writer, shard = None, shard + 1
                 if writer is None:
                     uri = f"{folder}/part-{part:06d}-{shard:04d}.ids"
                     writer = ShardWriter(uri, bits)
-                writer.add(doc, ids + end)
+                writer.add(doc, raw[a:b])
         if writer:
             close()
         yield batch_of(schema, **{f.name: list(c) for f, c in zip(schema, zip(*made) if made else [[]] * 4)})

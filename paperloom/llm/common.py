@@ -121,8 +121,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Odd multipliers; hashes to different ones are independent.
+_BASES = [np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
+_INVERSES = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -146,16 +147,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, base: int = 0) -> np.ndarray:
     """Sums of (byte + 1) * base ** position before each position, modulo 2 ** 64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASES[base], len(data)), out=out[1:])
     return out
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
     """64-bit hashes of the byte spans, equal for equal bytes wherever they lie."""
-    return mix((prefix[ends] - prefix[starts]) * _power(_INVERSE, len(prefix))[starts] + (ends - starts).astype(np.uint64))
+    return mix((prefix[ends] - prefix[starts]) * _power(_INVERSES[base], len(prefix))[starts] + (ends - starts).astype(np.uint64))
 
 
 def crc_of_ids(ids: np.ndarray) -> np.ndarray:

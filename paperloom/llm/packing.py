@@ -20,14 +20,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_blocks, written
-from .tokens import id_bytes
+from .tokens import BLOCK, encoder
 
 OPEN_WINDOWS = 64
 MERGE = 64
@@ -101,15 +100,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     ``tokenizer`` is the path of a tokenizers file; every document ends with ``end_id``.
     Sequence ids are unique, not gapless: the partition's number is in the upper bits.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, part = id_bytes(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).block, TaskContext.get().partitionId()
         packer = Packer(size, open_windows, part << 32)
-        for rows, _, _ in text_blocks(batches, "text"):
-            texts = [t or "" for t in rows.column(1).to_pylist()]
-            for doc, ids in zip(rows.column(0).to_pylist(), encode(texts)):
-                packer.add(doc, ids + end)
+        for rows, data, offsets in text_blocks(batches, "text", BLOCK):
+            ids, cuts = encode(data, offsets, end_id)
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            for doc, a, b in zip(rows.column(0).to_pylist(), cuts, cuts[1:]):
+                packer.add(doc, raw[a:b])
             if packer.done:
                 yield _batch(packer.done, _STAGED)
                 packer.done = []

@@ -19,9 +19,7 @@ def lower(text):
 def tokenizer(path):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(path)
 
 
 def ids(texts, path):

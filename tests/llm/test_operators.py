@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from brute import components, contaminated, crc, ids, repeats, simhash, token_planes
 
-from paperloom.llm import bitplanes, exact_dedup, language, packing, quality, secrets, simhash as sh, url_lists, winnow
+from paperloom.llm import bitplanes, exact_dedup, language, packing, quality, secrets, simhash as sh, tokens, url_lists, winnow
 from paperloom.llm import repeats as rp
-from paperloom.llm.tokens import id_bytes, vocabulary
+from paperloom.llm.tokens import vocabulary
 
 WORD, BYTE = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, id string, h long, __rn int"
@@ -47,12 +47,25 @@ def _sorted(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_tokens_of_awkward_texts():
+def _block(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+
+
+@pytest.mark.parametrize("kept", [900_000, 40])
+def test_tokens_of_awkward_texts(monkeypatch, kept):
+    """Equal to the plain library, strings of special tokens included, however few pieces are kept."""
+    monkeypatch.setattr(tokens, "KEPT", kept)
     rng = random.Random(1)
-    marks = [" ", "  ", "\n", "\t", "a", "B", "é", ".", ",", "'s", "9", "\0", "\x1c", "　", "日", "é", "<|endoftext|>", "\r", "|"]
-    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    marks = [" ", "  ", "\n", "\t", "a", "B", "é", ".", ",", "'s", "9", "12", "\0", "\x1c", "\u3000", "\u00a0", "\u0085", "日", "e\u0301", "\u0338", "<|endoftext|>", "<|startoftext|>", "<|", "\r", "|", "Σ", "İ", "×", "ß", "—", "the", "Word"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + ["x" * 5000, "ab " * 3000]
     for path in (WORD, BYTE):
-        assert id_bytes(path)(texts) == [np.array(x, "<u4").tobytes() for x in ids(texts, path)]
+        encode, end = tokens.Encoder(path).block, 7
+        for lo in range(0, len(texts), 100):
+            got, cuts = encode(*_block(texts[lo : lo + 100]), end)
+            assert [got[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [x + [end] for x in ids(texts[lo : lo + 100], path)]
+    plain = tokens.Encoder(BYTE, specials=False).block(*_block(["a<|endoftext|>"]))[0].tolist()
+    assert 50256 not in plain and 50256 in tokens.Encoder(BYTE).block(*_block(["a<|endoftext|>"]))[0]
 
 
 def test_planes_round_trip():
