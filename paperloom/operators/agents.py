@@ -130,10 +130,10 @@ def generate(candidates: DataFrame, factory: Callable[[], ChatModel], target: in
     from ..sources.sinks import append_tsv
     from .curate import remaining
 
-    spark = candidates.sparkSession
+    spark, form = candidates.sparkSession, "paper_id string, figure_id string, sub_id string, query string"
     have = 0
     if exists(spark, path):
-        done = read_tsv(spark, path, "paper_id string, figure_id string, sub_id string, query string")
+        done = read_tsv(spark, path, form)
         have = done.count()
         key = F.concat_ws("\u0001", "paper_id", "figure_id", T.blank(F.col("sub_id"))).alias("__key")
         candidates = remaining(candidates.withColumn("__key", key), done.select(key), "__key").drop("__key")
@@ -142,9 +142,8 @@ def generate(candidates: DataFrame, factory: Callable[[], ChatModel], target: in
     while have < target and at < last:
         some = candidates.filter((F.col("position") > at) & (F.col("position") <= at + size))
         good = queries_for(some, factory, most).filter("query is not null").orderBy("position").limit(target - have)
-        good = good.select("paper_id", "figure_id", T.blank(F.col("sub_id")).alias("sub_id"), T.one_line(F.col("query")).alias("query")).persist()
-        have += good.count()
-        append_tsv(good, path)
-        good.unpersist()
+        # written once and counted from the file, so a lost executor cannot make a model answer twice
+        append_tsv(good.select("paper_id", "figure_id", T.blank(F.col("sub_id")).alias("sub_id"), T.one_line(F.col("query")).alias("query")), path)
+        have = read_tsv(spark, path, form).count()
         at += size
     return have

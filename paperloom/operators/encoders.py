@@ -67,3 +67,9 @@ def hashed_text(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
         return out
 
     return run
+
+
+def hashed_words(dim: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
+    """A test double of a multi-vector encoder: one vector a word."""
+    one = hashed_text(dim)
+    return lambda texts: [one((t or "").split() or [""]) for t in texts]

@@ -12,7 +12,7 @@ import re
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -122,7 +122,8 @@ def figures_of(root: Node, url: str, rule: str | None = "reference") -> list[dic
             continue
         count += 1
         caption, notes = own_caption(figure)
-        number = number_in(caption, "figure") or count
+        found = number_in(caption, "figure")
+        number = count if found is None else found
 
         def row(node, sub_id, sub_caption, extra=()):
             image = node.find(has("img"))
@@ -137,7 +138,10 @@ def figures_of(root: Node, url: str, rule: str | None = "reference") -> list[dic
 
 
 def grid_of(table: Node) -> tuple[list[dict], int, int, list[dict]]:
-    """Cells at their row and column, with rows and columns counted over spans; a row without cells takes no place."""
+    """Cells at their row and column, with rows and columns counted over spans; a row without cells takes no place.
+
+    Spans end where HTML ends them: 1,000 columns, 65,534 rows.
+    """
     cells, notes, taken, row, width = [], [], set(), 0, 0
     rows = [r for part in table.elements() for r in ([part] if part.tag == "tr" else part.elements() if part.tag in ("thead", "tbody", "tfoot") else []) if r.tag == "tr"]
     for tr in rows:
@@ -171,7 +175,8 @@ def tables_of(root: Node, paper: str) -> list[dict]:
         for head, content in groups:
             count += 1
             caption, notes = noted_text(head)
-            number = number_in(caption, "table") or count
+            found = number_in(caption, "table")
+            number = count if found is None else found
 
             def record(table, html_id, sub_id, sub_caption, extra):
                 cells, n_rows, n_cols, own = grid_of(table)
@@ -225,14 +230,11 @@ def captions(records: DataFrame) -> DataFrame:
     return records.select("paper_id", F.explode("figures").alias("f")).select("paper_id", "f.figure_id", "f.sub_id", "f.html_id", "f.source", "f.caption", "f.sub_caption", "f.footnotes")
 
 
-def tables(records: DataFrame, references: bool = True) -> DataFrame:
-    """A row per table; with the paragraphs that mention its label."""
-    rows = records.select("paper_id", F.explode("tables").alias("t")).select("paper_id", "t.*")
-    if not references:
-        return rows
-    cited = table_references(records).groupBy("paper_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda p: p["text"]).alias("references"))
-    rows = rows.withColumn("label", _label())
-    return rows.join(cited, ["paper_id", "label"], "left").withColumn("references", F.coalesce("references", F.array().cast("array<string>"))).drop("label")
+def _citing(pattern: Column) -> Column:
+    """The distinct paragraphs of a record that match a pattern, the first of each, in order: array<struct<ord, text>>."""
+    met = F.filter("paragraphs", lambda p: T.mentions(p["text"], pattern))
+    first = F.transform(met, lambda p: p["text"])
+    return F.filter(F.transform(met, lambda p, i: F.struct(p["ord"].alias("ord"), p["text"].alias("text"), (F.array_position(first, p["text"]) == i + 1).alias("new"))), lambda p: p["new"])
 
 
 def _label():
@@ -240,26 +242,32 @@ def _label():
     return F.when(label != "", label).otherwise(F.col("table_num").cast("string"))
 
 
-def _paragraphs(records: DataFrame) -> DataFrame:
-    return records.select("paper_id", F.explode("paragraphs").alias("p")).select("paper_id", "p.ord", "p.text")
+def _table_rows(records: DataFrame) -> DataFrame:
+    return records.select("paper_id", "paragraphs", F.explode("tables").alias("t")).select("paper_id", "paragraphs", "t.*").withColumn("label", _label())
+
 
+def tables(records: DataFrame, references: bool = True, numeric: bool = False) -> DataFrame:
+    """A row per table; with the paragraphs that mention its label, or with ``numeric`` its number alone.
 
-def _mentioned(items: DataFrame, records: DataFrame, key: str) -> DataFrame:
-    """Paragraphs by item: an equi-join on the paper with the item's pattern as residual; repeats keep the first."""
-    met = items.join(_paragraphs(records), "paper_id").filter(T.mentions(F.col("text"), F.col("pattern")))
-    return met.groupBy("paper_id", key, "text").agg(F.min("ord").alias("ord"))
+    A page's tables and paragraphs lie in one record, so nothing is joined or parsed again.
+    """
+    rows = _table_rows(records)
+    if references:
+        name = F.col("table_num").cast("string") if numeric else F.col("label")
+        rows = rows.withColumn("references", F.transform(_citing(T.table_mention(name, numeric)), lambda p: p["text"]))
+    return rows.drop("paragraphs", "label")
 
 
 def figure_references(records: DataFrame) -> DataFrame:
     """(paper_id, figure_id, ord, text) of the distinct paragraphs that mention a figure."""
-    items = captions(records).select("paper_id", "figure_id").distinct().withColumn("pattern", T.figure_mention(F.col("figure_id")))
-    return _mentioned(items, records, "figure_id")
+    items = records.select("paper_id", "paragraphs", F.explode(F.array_distinct(F.transform("figures", lambda f: f["figure_id"]))).alias("figure_id"))
+    return items.select("paper_id", "figure_id", F.explode(_citing(T.figure_mention(F.col("figure_id")))).alias("p")).select("paper_id", "figure_id", "p.ord", "p.text")
 
 
 def table_references(records: DataFrame) -> DataFrame:
     """(paper_id, label, ord, text) of the distinct paragraphs that mention a table."""
-    items = records.select("paper_id", F.explode("tables").alias("t")).select("paper_id", "t.caption", "t.table_num").select("paper_id", _label().alias("label")).distinct()
-    return _mentioned(items.withColumn("pattern", T.table_mention(F.col("label"))), records, "label")
+    rows = _table_rows(records).select("paper_id", "label", F.explode(_citing(T.table_mention(F.col("label")))).alias("p"))
+    return rows.select("paper_id", "label", "p.ord", "p.text").distinct()
 
 
 def dense_cells(table_rows: DataFrame) -> DataFrame:
@@ -287,10 +295,17 @@ def item_captions(records: DataFrame) -> DataFrame:
 
 
 def item_references(records: DataFrame) -> DataFrame:
-    """Figure and table references together; panels of a table repeat its paragraphs."""
-    figures = figure_references(records).select("paper_id", F.lit("figure").alias("item_type"), F.col("figure_id").alias("item_id"), "ord", F.col("text").alias("reference_text"))
-    rows = tables(records).select("paper_id", F.lit("table").alias("item_type"), F.col("table_num").cast("string").alias("item_id"), F.posexplode("references").alias("ord", "reference_text"))
-    return figures.unionByName(rows)
+    """Figure and table references together, from one pass over the records; panels of a table repeat its paragraphs."""
+    figure = F.transform(F.array_distinct(F.transform("figures", lambda f: f["figure_id"])), lambda n: F.struct(F.lit("figure").alias("item_type"), n.alias("item_id"), T.figure_mention(n).alias("pattern")))
+
+    def named(t):
+        label = T.table_label(t["caption"])
+        number = t["table_num"].cast("string")
+        return F.struct(F.lit("table").alias("item_type"), number.alias("item_id"), T.table_mention(F.when(label != "", label).otherwise(number)).alias("pattern"))
+
+    items = records.select("paper_id", "paragraphs", F.explode(F.concat(figure, F.transform("tables", named))).alias("x"))
+    met = items.select("paper_id", "x.item_type", "x.item_id", F.posexplode(_citing(F.col("x.pattern"))).alias("place", "p"))
+    return met.select("paper_id", "item_type", "item_id", F.when(F.col("item_type") == "figure", F.col("p.ord")).otherwise(F.col("place")).alias("ord"), F.col("p.text").alias("reference_text"))
 
 
 def categories_of(feeds: DataFrame, scheme: str | None = None) -> DataFrame:

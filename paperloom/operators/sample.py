@@ -39,17 +39,13 @@ def stratified(items: DataFrame, key: str, n: int, seed: int = SEEDS["tables"],
     rows = category_rows(items, key, categories)
     slots = hamilton(category_sizes(rows), n)
     order = Window.partitionBy("category").orderBy(seeded(seed, "category", key), key)
-    drawn = rows.join(F.broadcast(slots) if _few(slots) else slots, "category").withColumn("rn", F.row_number().over(order)).filter("rn <= slots").select(key).distinct()
+    # no category has more than n slots, so every task keeps no more of each
+    drawn = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).join(slots, "category").filter("rn <= slots").select(key).distinct()
     rest = rows.select(key).distinct().join(drawn, key, "left_anti")
     pool = drawn.withColumn("phase", F.lit(1)).unionByName(rest.withColumn("phase", F.lit(2)))
     return pool.orderBy("phase", seeded(seed, key), key).limit(n).select(key)
 
 
-def _few(slots: DataFrame) -> bool:
-    """Whether a category table is small enough to broadcast: one row per category, counted."""
-    return slots.limit(100_001).count() <= 100_000
-
-
 def one_per_category(items: DataFrame, keys: list[str], n: int, seed: int = SEEDS["figures"], categories: str = "categories") -> DataFrame:
     """One item per category, distinct, then filled to ``n`` in seeded order; the label is the category drawn for, else the first."""
     parts = items.withColumn("__category", F.explode(T.category_list(F.col(categories)))).filter(F.col("__category") != T.UNCATEGORISED)
@@ -64,15 +60,18 @@ def one_per_category(items: DataFrame, keys: list[str], n: int, seed: int = SEED
 def diverse_order(figures: DataFrame, target: int, multiplier: int = 4, seed: int = SEEDS["candidates"]) -> DataFrame:
     """Candidates in order of trial: one figure a paper, categories in turn, lengths in turn within each; cut to target x multiplier.
 
-    Adds ``position`` from 1. The last step is a top-k, not a full sort.
+    Adds ``position`` from 1. The last step is a top-k, not a full sort. No candidate stands
+    behind more than the top-k's number in its category, so the windows keep no more of each:
+    Spark cuts every task's groups before it shuffles them.
     """
+    most = target * multiplier
     key = ["paper_id", "figure_id", "sub_id"]
     df = figures.withColumn("primary_category", T.first_category(F.col("categories"), "unknown")).withColumn("bucket", T.length_bucket(F.col("caption"), F.col("sub_caption")))
     df = df.withColumn("__h", seeded(seed, *[T.blank(F.col(k)) for k in key]))
     df = df.withColumn("__one", F.row_number().over(Window.partitionBy("paper_id").orderBy("__h", *key))).filter("__one = 1")
     place = F.array_position(F.array(*map(F.lit, ("short", "medium", "long"))), F.col("bucket"))
-    df = df.withColumn("__q", F.row_number().over(Window.partitionBy("primary_category", "bucket").orderBy("__h", *key))).withColumn("__b", place)
-    df = df.withColumn("__pos", F.row_number().over(Window.partitionBy("primary_category").orderBy("__q", "__b")))
-    top = df.orderBy("__pos", seeded(seed, "primary_category"), "primary_category").limit(target * multiplier)
+    df = df.withColumn("__q", F.row_number().over(Window.partitionBy("primary_category", "bucket").orderBy("__h", *key))).filter(F.col("__q") <= most).withColumn("__b", place)
+    df = df.withColumn("__pos", F.row_number().over(Window.partitionBy("primary_category").orderBy("__q", "__b"))).filter(F.col("__pos") <= most)
+    top = df.orderBy("__pos", seeded(seed, "primary_category"), "primary_category").limit(most)
     order = Window.partitionBy(F.lit(1)).orderBy("__pos", seeded(seed, "primary_category"), "primary_category")
     return top.withColumn("position", F.row_number().over(order)).drop("__h", "__one", "__q", "__b", "__pos")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import vectors as V
 from .operators import agents, curate, extract, retrieve, sample
+from .plans import jobs
+from .sources import files, sinks
+from .sources.scratch import scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,9 +61,11 @@ def retrieval_topk(spark, sf_dir):
 
 
 def _targets(q, e):
-    """For each query the smallest other id of its label."""
-    pairs = q.select(F.col("id").alias("query_id"), "label").join(e.groupBy("label").agg(F.array_sort(F.collect_set("id")).alias("ids")), "label")
-    return pairs.select("query_id", F.filter("ids", lambda i: i != F.col("query_id"))[0].alias("target_id")).filter("target_id is not null")
+    """For each query the smallest other id of its label, from the two smallest ids of each."""
+    first = e.groupBy("label").agg(F.min("id").alias("one"))
+    second = e.join(first, "label").filter("id <> one").groupBy("label").agg(F.min("id").alias("two"))
+    pairs = q.select(F.col("id").alias("query_id"), "label").join(first, "label").join(second, "label", "left")
+    return pairs.select("query_id", F.when(F.col("one") != F.col("query_id"), F.col("one")).otherwise(F.col("two")).alias("target_id")).filter("target_id is not null")
 
 
 _RANKS = f"{_SCORED}, goal AS (SELECT query_id, min(item_id) AS target_id FROM scored WHERE ql = el GROUP BY 1), ranks AS (SELECT g.query_id, g.target_id, 1 + count(*) FILTER (s.score > t.score) AS rank FROM goal g JOIN scored t ON t.query_id = g.query_id AND t.item_id = g.target_id JOIN scored s ON s.query_id = g.query_id GROUP BY 1, 2)"
@@ -87,15 +92,52 @@ def recall_mrr(spark, sf_dir):
     sums AS (SELECT q AS query_id, item AS image_id, round(sum(s), 6) AS score FROM best GROUP BY 1, 2)
     SELECT query_id, image_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS INTEGER) AS rank FROM sums QUALIFY rank <= 5""")
 def maxsim_topk(spark, sf_dir):
-    """VEC-04: late interaction, eight vectors an item and four a query."""
+    """VEC-04: late interaction, eight vectors an item and four a query. Twenty are kept before rounding."""
+    q, items = _bundled(spark, sf_dir)
+    best = retrieve.max_sim_top_k(q, items, 20).withColumn("score", F.round("score", 6))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "image_id")))
+    return best.filter("rank <= 5").select("query_id", "image_id", "score", "rank")
+
+
+def _bundled(spark, sf_dir):
+    """Queries of four vectors (every hundredth) and items of eight."""
     e = table(spark, sf_dir, "embeddings")
 
     def bundle(n, key, name):
         return e.groupBy(F.expr(f"vec_id div {n}").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias(name))
 
-    scores = retrieve.max_sim_scores(bundle(4, "query_id", "tokens").filter("query_id % 100 = 0"), bundle(8, "image_id", "patches"))
-    scores = scores.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "image_id")))
-    return scores.filter("rank <= 5").select("query_id", "image_id", "score", "rank")
+    return bundle(4, "query_id", "tokens").filter("query_id % 100 = 0"), bundle(8, "image_id", "patches")
+
+
+_MULTI = """p AS (SELECT vec_id // 8 AS item, vec_id, embedding FROM embeddings),
+    t AS (SELECT vec_id // 4 AS q, vec_id AS token, embedding FROM embeddings WHERE (vec_id // 4) % 100 = 0),
+    best AS (SELECT t.q, t.token, p.item, max(list_dot_product(t.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS s FROM t, p GROUP BY 1, 2, 3),
+    sums AS (SELECT q AS query_id, item AS image_id, sum(s) AS score FROM best GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_MULTI} SELECT g.query_id, count(*) FILTER (s.score > g.score + 1e-9) + 1 AS rank FROM sums g JOIN sums s USING (query_id) WHERE g.image_id = g.query_id // 2 + 1 GROUP BY 1")
+def maxsim_ranks(spark, sf_dir):
+    """VEC-04, WIN-05: the rank of a given item, by counting the items above it."""
+    q, items = _bundled(spark, sf_dir)
+    return retrieve.max_sim_ranks(q, items, q.select("query_id", F.expr("query_id div 2 + 1").alias("image_id")))
+
+
+@query(f"WITH {_MULTI}, r AS (SELECT query_id, image_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN image_id % 5 = 0 THEN 0 ELSE round(score, 6) END DESC, image_id) AS rank FROM sums) SELECT query_id, image_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3 AND image_id % 5 <> 0")
+def index_search(spark, sf_dir):
+    """SRC-12, SNK-07, VEC-05, FLT-08, API-15: an index is built and stored, zero placeholders included, then loaded and searched."""
+    q, items = _bundled(spark, sf_dir)
+    items = items.withColumn("patches", F.when(F.col("image_id") % 5 != 0, F.col("patches")))
+    dim = len(items.filter("patches is not null").select("patches").first()[0][0])
+    path = scratch(spark, "index")
+    for _ in range(2):  # the second call loads what the first has stored
+        index = retrieve.MultiVectorIndex.at(spark, path, build=lambda: items.withColumn("patches", V.or_placeholder(F.col("patches"), dim)))
+    return index.search(q, 3).select("query_id", "image_id", "rank")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-9))), 6) AS unit_sum FROM embeddings")
+def query_normalise(spark, sf_dir):
+    """VEC-02: a query's vector over its length and a little more."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(V.normalised(F.col("embedding"), 1e-9), F.lit(0.0), lambda s, x: s + x), 6).alias("unit_sum"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) AS unit_sum FROM embeddings")
@@ -168,11 +210,13 @@ def title_cut(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_title(F.concat(F.lit("On "), "source", F.lit(" Journal: "), "lang")).alias("title"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT item_id, replace(replace(text, '(', ''), ')', '') AS x FROM benchmark)
+    SELECT item_id, 'a' AS label, regexp_replace(x, '^\s+|\s+$', '', 'g') AS text FROM t UNION ALL SELECT item_id, 'b', 'of item ' || item_id || ', ' || regexp_replace(x, '\s+$', '') FROM t""")
 def subcaption_split(spark, sf_dir):
-    """STR-04, ARR-01: lettered parts of captions made of the benchmark's texts (SQL here has no look-ahead)."""
-    cap = F.concat(F.lit("Figure 1: (a) "), F.substring("text", 1, 40), F.lit(" (b) "), F.substring("text", 41, 40))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.subcaptions(cap)).alias("p")).select("item_id", "p.label", "p.text")
+    """STR-04, ARR-01: lettered parts of captions made of the benchmark's whole texts."""
+    b = table(spark, sf_dir, "benchmark").withColumn("x", F.translate("text", "()", ""))
+    cap = F.concat(F.lit("Figure 1: (a) "), "x", F.lit(" (b) of item "), F.col("item_id").cast("string"), F.lit(", "), "x")
+    return b.select("item_id", F.explode(T.subcaptions(cap)).alias("p")).select("item_id", "p.label", "p.text")
 
 
 @query(r"""WITH m AS (SELECT doc_id, doc_id % 12 AS n, CASE doc_id % 5 WHEN 0 THEN 'see Fig. ' || (doc_id % 12) WHEN 1 THEN 'in Figure ' || (doc_id % 12) || '(a) we' WHEN 2 THEN 'figure' || (doc_id % 12) || '0' WHEN 3 THEN 'Figs. ' || (doc_id % 12) ELSE 'Fig.' || (doc_id % 12) || 'b.' END AS s FROM documents)
@@ -197,10 +241,10 @@ def table_labels(spark, sf_dir):
     return rows.withColumn("roman", T.roman_value(F.col("label"))).withColumn("number", T.caption_number(F.col("s"), "Table"))
 
 
-@query(r"SELECT item_id, trim(regexp_replace(regexp_replace('as fig. 3b shows, ' || text, '(?i)\bfig(?:ure)?[.]?\s*[a-z\d]+\b', '', 'g'), '\s+', ' ', 'g')) AS query, regexp_matches('<' || substr(text, 1, 5) || '>', '<[^>]{1,60}>') AS placeholder FROM benchmark")
+@query(r"SELECT item_id, trim(regexp_replace(regexp_replace('as fig. 3b shows, ' || text, '(?i)\bfig(?:ure)?[.]?\s*[a-z\d]+\b', '', 'g'), '\s+', ' ', 'g')) AS query, regexp_matches('<' || text || '>', '<[^>]{1,60}>') AS placeholder FROM benchmark")
 def query_scrub(spark, sf_dir):
     """STR-12, FLT-13."""
-    return table(spark, sf_dir, "benchmark").select("item_id", T.scrub_mentions(F.concat(F.lit("as fig. 3b shows, "), "text")).alias("query"), T.has_placeholder(F.concat(F.lit("<"), F.substring("text", 1, 5), F.lit(">"))).alias("placeholder"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.scrub_mentions(F.concat(F.lit("as fig. 3b shows, "), "text")).alias("query"), T.has_placeholder(F.concat(F.lit("<"), "text", F.lit(">"))).alias("placeholder"))
 
 
 @query(r"SELECT item_id, trim(regexp_replace(text, '[\t\r\n]+', ' ', 'g')) AS line FROM benchmark")
@@ -261,17 +305,43 @@ def base64_text(spark, sf_dir):
 # ---- joins and aggregates ----------------------------------------------------------------
 
 
-@query("SELECT d.doc_id, d.source, coalesce(CAST(l.quality AS VARCHAR), '') AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
-def left_join_metadata(spark, sf_dir):
-    """JN-01..04, PRJ-06: unmatched rows are filled."""
-    labels = curate.keep_first(table(spark, sf_dir, "labels"), ["doc_id"], ["quality", "toxic"]).select("doc_id", F.col("quality").cast("string").alias("quality"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left").fillna("", ["quality"])
+def _metadata(spark, sf_dir, prefix=""):
+    """Two rows for every labelled paper; the first by URL counts."""
+    m = table(spark, sf_dir, "labels").select(F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("paper_id"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("u"), "quality", "toxic").distinct()
+    return m.select("paper_id", F.concat("u", F.col("quality").cast("string")).alias("url"), F.concat(F.lit("t"), F.col("toxic").cast("string")).alias("title"), F.concat("u", F.lit("bstract")).alias("abstract"), F.lit("c; d").alias("categories"))
+
+
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS paper_id, CAST(d.doc_id % 4 AS VARCHAR) AS figure_id, CASE WHEN d.doc_id % 3 = 0 THEN ' ' ELSE lang END AS caption, CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE source END AS sub_caption,
+    coalesce('a' || l.quality, '') AS url, coalesce('t' || l.toxic, '') AS title, CASE WHEN l.doc_id IS NULL THEN '' ELSE 'abstract' END AS abstract, CASE WHEN l.doc_id IS NULL THEN '' ELSE 'c; d' END AS categories,
+    lang || '0' || CASE WHEN d.doc_id % 3 = 2 THEN ' || ' || lang || '2' ELSE '' END AS reference_text
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 15 <> 0""")
+def figure_frame_rows(spark, sf_dir):
+    """JN-01..03, FLT-01, FLT-04, PRJ-06: captions with the first metadata row and their references in order; blanks are filled."""
+    d = table(spark, sf_dir, "documents")
+    key = (F.col("doc_id").cast("string").alias("paper_id"), (F.col("doc_id") % 4).cast("string").alias("figure_id"))
+    captions = d.select(*key, F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("lang")).alias("caption"), F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("sub_caption"))
+    references = d.select("*", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("ord")).select(*key, "ord", F.when(F.col("ord") == 1, " ").otherwise(F.concat("lang", F.col("ord").cast("string"))).alias("reference_text"))
+    return curate.figure_frame(captions, _metadata(spark, sf_dir), references).select("paper_id", "figure_id", "caption", "sub_caption", "url", "title", "abstract", "categories", "reference_text")
+
+
+@query("""SELECT '2410.' || d.doc_id || '_T1' AS table_id, '2410.' || d.doc_id AS paper_id, 't' || l.toxic AS title, lang AS caption, source || ' | ' || lang AS reference_text FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id % 4 <> 0""")
+def table_frame_rows(spark, sf_dir):
+    """JN-04, FLT-02, AGG-03, STR-07: tables with metadata under the paper of their id, references joined."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("2410."), F.col("doc_id").cast("string"), F.lit("_T1")).alias("table_id"), F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("caption"), F.array(F.lit(""), "source", "lang").alias("references"))
+    return curate.table_frame(rows, _metadata(spark, sf_dir, "2410.")).select("table_id", "paper_id", "title", "caption", "reference_text")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-def semi_resolved(spark, sf_dir):
-    """JN-05, FLT-05."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS paper_id, (doc_id % 3) || CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE '' END AS stem, CASE doc_id % 5 WHEN 1 THEN 'png' WHEN 2 THEN 'jpg' ELSE 'JPEG' END AS chosen FROM documents WHERE doc_id % 5 <> 0""")
+def image_resolution(spark, sf_dir):
+    """JN-05, JN-14, FLT-05: figures that have an image, png before jpg before jpeg."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 5
+    stem = F.concat((F.col("doc_id") % 3).cast("string"), F.when(F.col("doc_id") % 2 == 0, "a").otherwise(""))
+    kinds = F.when(k == 1, F.array(F.lit("jpg"), F.lit("png"))).when(k == 2, F.array(F.lit("jpeg"), F.lit("jpg"))).when(k > 2, F.array(F.lit("gif"), F.lit("JPEG"))).otherwise(F.array(F.lit("txt")))
+    listing = d.select("doc_id", stem.alias("stem"), F.explode(kinds).alias("kind")).select(F.concat(F.lit("file:/x/"), F.col("doc_id").cast("string"), F.lit("/"), "stem", F.lit("."), "kind").alias("path"))
+    figures = d.select(F.col("doc_id").cast("string").alias("paper_id"), (F.col("doc_id") % 3).cast("string").alias("figure_id"), F.when(F.col("doc_id") % 2 == 0, "a").alias("sub_id"))
+    found = curate.resolved_images(figures, listing)
+    return found.select("paper_id", T.path_stem(F.col("image_path")).alias("stem"), F.regexp_extract("image_path", "[.]([^.]+)$", 1).alias("chosen"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -345,28 +415,20 @@ def category_join(spark, sf_dir):
     return curate.category_text(curate.category_rows(_categorised(spark, sf_dir), "doc_id"), "doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN trim(lang) <> '' THEN trim(lang) ELSE source END AS caption FROM documents WHERE trim(text) <> '' AND lang <> '' AND source IS NOT NULL")
-def usable_rows(spark, sf_dir):
-    """FLT-01..04, PRJ-08."""
-    d = table(spark, sf_dir, "documents").filter((F.trim("text") != "") & (F.col("lang") != "")).na.drop(subset=["source"])
-    return d.select("doc_id", T.caption_or_sub(F.col("lang"), F.col("source")).alias("caption"))
+@query("SELECT doc_id, CASE WHEN trim(lang) <> '' THEN trim(lang) ELSE source END AS caption FROM documents")
+def caption_fallback(spark, sf_dir):
+    """PRJ-08."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.caption_or_sub(F.col("lang"), F.col("source")).alias("caption"))
 
 
-@query("""SELECT item_id AS paper_id, item_id % 9 AS fig_id, query FROM (SELECT item_id, substr(text, 1, 20) AS q1, CASE WHEN item_id % 2 = 0 THEN ' ' ELSE substr(text, 21, 20) END AS q2, substr(text, 41, 20) AS q3 FROM benchmark) UNPIVOT (query FOR slot IN (q1, q2, q3)) WHERE trim(query) <> ''""")
+@query("""SELECT item_id AS paper_id, item_id % 9 AS fig_id, query FROM (SELECT item_id, text AS q1, CASE WHEN item_id % 2 = 0 THEN ' ' ELSE reverse(text) END AS q2, 'about ' || text AS q3 FROM benchmark) UNPIVOT (query FOR slot IN (q1, q2, q3)) WHERE trim(query) <> ''""")
 def unpivot_queries(spark, sf_dir):
     """PRJ-09, FLT-09."""
     b = table(spark, sf_dir, "benchmark")
-    wide = b.select(F.col("item_id").alias("Paper ID"), (F.col("item_id") % 9).alias("Figure ID"), F.substring("text", 1, 20).alias("Query 1"), F.when(F.col("item_id") % 2 == 0, " ").otherwise(F.substring("text", 21, 20)).alias("Query 2"), F.substring("text", 41, 20).alias("Query 3"))
+    wide = b.select(F.col("item_id").alias("Paper ID"), (F.col("item_id") % 9).alias("Figure ID"), F.col("text").alias("Query 1"), F.when(F.col("item_id") % 2 == 0, " ").otherwise(F.reverse("text")).alias("Query 2"), F.concat(F.lit("about "), "text").alias("Query 3"))
     return curate.evaluation_rows(wide).select("paper_id", "fig_id", "query")
 
 
-@query("SELECT doc_id AS item_id, 'figure' AS item_type, lang AS caption FROM documents UNION ALL SELECT page_id, 'table', url FROM pages")
-def union_items(spark, sf_dir):
-    """SET-01/03, PRJ-10."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.lit("figure").alias("item_type"), F.col("lang").alias("caption")).unionByName(
-        table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), F.lit("table").alias("item_type"), F.col("url").alias("caption")))
-
-
 @query("SELECT doc_id AS \"Paper ID\", lang AS \"Caption\", '' AS \"Query 1\", '' AS missing FROM documents")
 def display_names(spark, sf_dir):
     """PRJ-01..05."""
@@ -374,21 +436,6 @@ def display_names(spark, sf_dir):
     return d.withColumnsRenamed({"doc_id": "Paper ID", "lang": "Caption"}).withColumn("Query 1", F.lit("")).select("Paper ID", "Caption", "Query 1", "missing")
 
 
-@query("SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS number FROM documents")
-def running_number(spark, sf_dir):
-    """WIN-01."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id")
-    return d.withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-
-
-@query("SELECT * FROM (SELECT conv_id, turn, CAST(sum(CAST(role = 'user' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS grp, chr(CAST(97 + turn % 26 AS INTEGER)) AS letter FROM conversations) WHERE grp > 0")
-def logical_groups(spark, sf_dir):
-    """DOM-14, WIN-06/07: a running count of heads, what precedes the first dropped; letters by place."""
-    c = table(spark, sf_dir, "conversations")
-    grp = F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.select("conv_id", "turn", grp.alias("grp"), F.char(97 + F.col("turn") % 26).alias("letter")).filter("grp > 0")
-
-
 # ---- samples ---------------------------------------------------------------------------
 
 _SIZES = f"{_CATEGORY}, sz AS (SELECT category, count(*) AS size FROM cats GROUP BY 1)"
@@ -463,7 +510,7 @@ def page_links(spark, sf_dir):
 
 def _papers(spark, sf_dir):
     """Paper pages in the markup of the extractor, one per document, from its texts."""
-    safe = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 200), "&", "&amp;"), "<", "&lt;")
+    safe = F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;")
     n = F.col("doc_id").cast("string")
     html = F.concat(
         F.lit('<h1 class="ltx_title_document">On '), "source", F.lit('</h1><div class="ltx_abstract"><p class="ltx_p">'), safe, F.lit("</p></div>"),
@@ -502,6 +549,140 @@ def paper_references(spark, sf_dir):
     return extract.item_references(extract.page_records(_papers(spark, sf_dir))).select("paper_id", "item_type", "item_id", "reference_text")
 
 
+@query(f"SELECT {_PAPER} AS paper_id, x.t AS item_type, x.i AS item_id, x.s AS sub_id, CASE WHEN x.t = 'table' THEN 'Table 2: of ' || doc_id ELSE 'Figure 1: (a) left (b) right' END AS caption, x.c AS sub_caption FROM documents, (VALUES ('figure', '1', 'a', 'left'), ('figure', '1', 'b', 'right'), ('table', '2', NULL, NULL)) x(t, i, s, c)")
+def item_captions(spark, sf_dir):
+    """SET-01, PRJ-10: captions of figures and tables together."""
+    return extract.item_captions(extract.page_records(_papers(spark, sf_dir)))
+
+
+def _wrapped(spark, sf_dir):
+    """Pages with an equation, footnotes, nested tables, several captions in a wrapper, and panels without letters."""
+    n = F.col("doc_id").cast("string")
+    note = '<span class="ltx_note ltx_role_footnote"><sup class="ltx_note_mark">1</sup><span class="ltx_note_content"><sup class="ltx_note_mark">1</sup>see {}</span></span>'
+    html = F.concat(
+        F.lit('<figure class="ltx_figure" id="E"><img src="e.png"><span class="ltx_equation">y</span><figcaption class="ltx_caption">An aside</figcaption></figure><figure class="ltx_figure" id="N"><figcaption class="ltx_caption">No image</figcaption></figure>'),
+        F.lit('<figure class="ltx_figure" id="P"><img src="p.png"><figcaption class="ltx_caption">Plain  <math alttext="x^2"><mi>x</mi></math>' + note.format("below")), F.lit('</figcaption><p class="ltx_p">hidden</p></figure>'),
+        F.lit('<figure class="ltx_figure" id="Q"><img src="q.png"><figcaption class="ltx_caption">Figure '), n, F.lit(": last</figcaption></figure>"),
+        F.lit('<figure class="ltx_table" id="W"><p class="ltx_p">dropped</p><table><tr><td>lost</td></tr></table><figcaption class="ltx_caption">Table 5: one' + note.format("outer") + '</figcaption><div><table><tr><td>a<table><tr><td>x</td><td> </td><td>y</td></tr></table></td></tr></table></div>'),
+        F.lit('<figcaption class="ltx_caption">second'), n, F.lit('</figcaption><div><figure class="ltx_figure_panel"><figcaption class="ltx_caption">left' + note.format("outer") + '</figcaption><table><tr><th>h' + note.format("cell") + note.format("cell") + '</th></tr></table></figure><figure class="ltx_figure_panel" id="R"><figcaption class="ltx_caption">(d) right</figcaption><table><tr><td>r</td></tr></table></figure></div></figure>'),
+        F.lit('<p class="ltx_p">Body <math alttext="a_1"><mi>a</mi></math> of '), n, F.lit('</p><p class="ltx_p">  </p><p class="ltx_p">End.</p>'),
+    )
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("2410."), F.lpad(n, 5, "0")).alias("page_id"), F.lit("https://example.org/p/").alias("url"), html.alias("html"))
+
+
+_WRAPPED_FIGURES = "SELECT {} AS paper_id, CASE WHEN x.h = 'Q' THEN CAST(doc_id AS VARCHAR) ELSE x.i END AS figure_id, x.h AS html_id, CASE WHEN x.h = 'Q' THEN 'Figure ' || doc_id || ': last' ELSE x.c END AS caption, CAST(x.n AS BIGINT) AS notes, x.t AS note FROM documents, (VALUES {}) x(i, h, c, n, t)"
+
+
+@query(_WRAPPED_FIGURES.format(_PAPER, "('1', 'P', 'Plain $x^2$[^1]', 1, 'see below'), ('', 'Q', '', 0, NULL)"))
+def plain_figures(spark, sf_dir):
+    """DOM-01, DOM-02, DOM-08, DOM-18, WIN-01: equations and figures without image take no number; formulas and notes in captions."""
+    return _noted(extract.captions(extract.page_records(_wrapped(spark, sf_dir))))
+
+
+@query(_WRAPPED_FIGURES.format(_PAPER, "('1', 'E', 'An aside', 0, NULL), ('2', 'N', 'No image', 0, NULL), ('3', 'P', 'Plain $x^2$[^1]', 1, 'see below'), ('', 'Q', '', 0, NULL)"))
+def all_figures(spark, sf_dir):
+    """DOM-10: the same with equations kept."""
+    return _noted(extract.captions(extract.page_records(_wrapped(spark, sf_dir), rule=None)))
+
+
+def _noted(rows):
+    return rows.select("paper_id", "figure_id", "html_id", "caption", _long(F.size("footnotes")).alias("notes"), F.try_element_at("footnotes", F.lit(1))["text"].alias("note"))
+
+
+@query(f"SELECT {_PAPER} || '_T' || x.s AS table_id, CAST(x.n AS INTEGER) AS table_num, x.p AS sub_id, CASE WHEN x.n = 5 THEN 'Table 5: one[^1]' ELSE 'second' || doc_id END AS caption, x.c AS sub_caption, x.t AS cell, x.f AS notes FROM documents, (VALUES ('5', 5, NULL, NULL, 'ax y', 'see outer'), ('2a', 2, 'a', 'left[^1]', 'h[^1][^1]', 'see outer,see cell'), ('2d', 2, 'd', '(d) right', 'r', '')) x(s, n, p, c, t, f)")
+def table_groups(spark, sf_dir):
+    """DOM-03, DOM-14, DOM-15, DOM-18, DOM-19, WIN-06, WIN-07: a table or panels for each caption of a wrapper; what precedes the first is dropped."""
+    rows = extract.tables(extract.page_records(_wrapped(spark, sf_dir)))
+    return rows.select("table_id", "table_num", "sub_id", "caption", "sub_caption", F.col("cells")[0]["text"].alias("cell"), F.array_join(F.transform("footnotes", lambda n: n["text"]), ",").alias("notes"))
+
+
+@query(f"SELECT {_PAPER} AS paper_id, CAST(x.i AS INTEGER) AS ord, CASE WHEN x.i = 0 THEN 'Body $a_1$ of ' || doc_id ELSE 'End.' END AS text FROM documents, (VALUES (0), (2)) x(i)")
+def body_paragraphs(spark, sf_dir):
+    """DOM-01, DOM-22: paragraphs outside figures, with their formulas, in order."""
+    return extract.page_records(_wrapped(spark, sf_dir)).select("paper_id", F.explode("paragraphs").alias("p")).select("paper_id", "p.ord", "p.text")
+
+
+@query(r"""WITH m AS (SELECT doc_id, doc_id % 12 AS n, CASE doc_id % 4 WHEN 0 THEN 'see Tab. ' || (doc_id % 12) WHEN 1 THEN 'in Table ' || (doc_id % 12) || '(a) we' WHEN 2 THEN 'table' || (doc_id % 12) || '0' ELSE 'Tables ' || (doc_id % 12) END AS s FROM documents)
+    SELECT doc_id, s, regexp_matches(s, '(?i)\btab(?:le|[.])?\s*' || n || '(?:-?[a-z]|[(][a-z][)])?\b') AS mentioned FROM m""")
+def table_number_mentions(spark, sf_dir):
+    """FLT-11: mentions of a table by its number alone."""
+    n, k = (F.col("doc_id") % 12).cast("string"), F.col("doc_id") % 4
+    s = F.when(k == 0, F.concat(F.lit("see Tab. "), n)).when(k == 1, F.concat(F.lit("in Table "), n, F.lit("(a) we"))).when(k == 2, F.concat(F.lit("table"), n, F.lit("0"))).otherwise(F.concat(F.lit("Tables "), n))
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s"), T.mentions(s, T.table_mention(n, numeric=True)).alias("mentioned"))
+
+
+# ---- sources, sinks and jobs ---------------------------------------------------------------
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE source END AS source, text FROM documents")
+def tsv_round_trip(spark, sf_dir):
+    """SRC-05..07, SNK-01, SNK-02: whole texts through tab-separated files; nulls and the listed words read as empty text."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 18 == 0, "NaN").when(F.col("doc_id") % 9 != 0, F.col("source")).alias("source"), "text")
+    path = scratch(spark, "tsv")
+    sinks.overwrite_tsv(d.filter("doc_id % 2 = 0"), path)
+    sinks.append_tsv(d.filter("doc_id % 2 = 1"), path)
+    return files.read_tsv(spark, path, "doc_id string, source string, text string", na=("NaN",))
+
+
+@query(f"SELECT {_PAPER} || '_T2' AS table_id, CAST(2 AS INTEGER) AS table_num, 'Table 2: of ' || doc_id AS caption, CAST(4 AS INTEGER) AS cells, 'As Fig. 1 and Table 2 show, ' || doc_id || '.' AS cited FROM documents")
+def table_files(spark, sf_dir):
+    """SRC-08, SNK-04, JN-10: tables with their paragraphs as JSON lines, appended and read back."""
+    path = scratch(spark, "tables")
+    sinks.append_jsonl(extract.tables(extract.page_records(_papers(spark, sf_dir))), path)
+    rows = files.read_tables(spark, path)
+    return rows.select("table_id", F.col("table_num").cast("int").alias("table_num"), "caption", F.size("cells").alias("cells"), F.array_join("references", "|").alias("cited"))
+
+
+@query("SELECT CAST(2400 + doc_id % 300 AS VARCHAR) || '.' || doc_id AS paper_id, CAST(24 + doc_id % 300 // 100 AS VARCHAR) AS year, lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS month, text FROM documents")
+def month_folders(spark, sf_dir):
+    """SNK-03, SNK-08, STR-22: Parquet below the year and month of the paper."""
+    path = scratch(spark, "months")
+    number = F.concat((2400 + F.col("doc_id") % 300).cast("string"), F.lit("."), F.col("doc_id").cast("string"))
+    sinks.by_month(table(spark, sf_dir, "documents").select(number.alias("paper_id"), "text"), path)
+    return spark.read.schema("paper_id string, text string, year string, month string").parquet(path).select("paper_id", "year", "month", "text")
+
+
+@query("SELECT CAST(label AS VARCHAR) AS paper_id, CAST(vec_id AS VARCHAR) AS fig_id, CAST(len(embedding) AS INTEGER) AS dim, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def vector_cache(spark, sf_dir):
+    """SRC-11, SNK-07: vectors with their ids, stored and loaded."""
+    path = scratch(spark, "vectors")
+    sinks.write_vectors(table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("paper_id"), F.col("vec_id").cast("string").alias("fig_id"), "embedding"), path)
+    return files.read_vectors(spark, path).select("paper_id", "fig_id", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@query("SELECT '24' || m || '.' || lpad(CAST(n AS VARCHAR), 5, '0') AS paper_id FROM (VALUES ('10'), ('11')) x(m), range(99000, 100000) r(n)")
+def month_numbers(spark, sf_dir):
+    """SRC-13, SRC-14: every number of every month from a first one on."""
+    return files.month_ids(spark, ["24"], ["10", "11"], 99_000).select("paper_id")
+
+
+@query(f"SELECT {_PAPER} AS paper_id, 'On ' || source AS title, 'On ' || source AS stored, CAST(3 AS BIGINT) AS captions, CAST(2 AS BIGINT) AS cited FROM documents WHERE doc_id % 3 <> 0")
+def extraction_job(spark, sf_dir):
+    """SNK-09, FLT-07, SRT-05, SRT-06, API-04, API-05: finished pages are left out, empty pages skipped, and every dataset is written."""
+    out, found = scratch(spark, "extraction"), _papers(spark, sf_dir)
+    empty = spark.createDataFrame([("2410.x", "u", "<p>nothing</p>")], "page_id string, url string, html string")
+    done = found.filter("cast(substring(page_id, 6) as long) % 3 = 0").select(F.col("page_id").alias("paper_id"))
+    jobs.extract_pages(found.unionByName(empty), out, done)
+    meta = spark.read.parquet(f"{out}/metadata").select("paper_id", "title")
+    count = {name: spark.read.parquet(f"{out}/{name}").groupBy("paper_id").agg(F.count("*").alias(own)) for name, own in (("item_captions", "captions"), ("references", "cited"))}
+    stored = spark.read.parquet(f"{out}/records").select("paper_id", F.col("title").alias("stored"))
+    return meta.join(stored, "paper_id").join(count["item_captions"], "paper_id").join(count["references"], "paper_id").join(spark.read.parquet(f"{out}/done"), "paper_id", "left_semi")
+
+
+@query("WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 <> 2 ORDER BY conv_id LIMIT 40) SELECT CAST(conv_id AS VARCHAR) AS paper_id, 'query of ' || conv_id AS query FROM c")
+def generated_queries(spark, sf_dir):
+    """SNK-05, SRT-04, AGT-04, API-13: ordered batches until forty are accepted, resumed once; figures that fail are skipped."""
+    path, rows = scratch(spark, "queries"), _asked(spark, sf_dir).withColumn("position", F.col("position") + 1)
+    jobs.generate_queries(rows, _Scripted, path, target=15)
+    jobs.generate_queries(rows, _Scripted, path, target=40)
+    return files.read_tsv(spark, path, "paper_id string, figure_id string, sub_id string, query string").select("paper_id", "query")
+
+
+def _asked(spark, sf_dir):
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return ids.select(F.col("conv_id").cast("string").alias("paper_id"), F.lit("1").alias("figure_id"), F.lit("").alias("sub_id"), F.col("conv_id").alias("position"), F.col("conv_id").cast("string").alias("title"), *[F.lit("").alias(c) for c in ("abstract", "categories", "caption", "sub_caption", "reference_text")])
+
+
 @query(f"SELECT {_PAPER} AS paper_id, ['cs.LG', 'q-bio'] AS scheme_terms, ['cs.LG'] AS dotted FROM documents")
 def feed_categories(spark, sf_dir):
     """SRC-03/04, AGG-17: subjects from Atom feeds, by scheme or by their dot."""
@@ -513,8 +694,7 @@ def feed_categories(spark, sf_dir):
 @query("SELECT DISTINCT conv_id, CAST(1 + conv_id % 3 AS INTEGER) AS rounds, CASE WHEN conv_id % 3 = 0 THEN 'query of ' || conv_id WHEN conv_id % 3 = 1 THEN 'query of ' || conv_id ELSE NULL END AS query FROM conversations")
 def agent_loop(spark, sf_dir):
     """AGT-01..06, UDF-05: the loop with a scripted model: accept at once, after a rejection, or never."""
-    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    rows = ids.select(F.col("conv_id").cast("string").alias("paper_id"), F.lit("1").alias("figure_id"), F.lit("").alias("sub_id"), F.col("conv_id").alias("position"), F.col("conv_id").cast("string").alias("title"), *[F.lit("").alias(c) for c in ("abstract", "categories", "caption", "sub_caption", "reference_text")])
+    rows = _asked(spark, sf_dir)
     found = agents.queries_for(rows, _Scripted)
     return found.select(F.col("position").alias("conv_id"), "rounds", "query")
 

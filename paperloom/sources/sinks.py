@@ -26,9 +26,13 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def by_month(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet below ``year=YY/month=MM`` of the paper id; filters on them prune folders."""
+    """Parquet below ``year=YY/month=MM`` of the paper id; filters on them prune folders.
+
+    Rows are brought together by month by a rebalance: small months share a task, and one that
+    holds much of the data is split over several.
+    """
     part = T.year_month(F.col("paper_id"))
-    df.withColumn("year", part["year"]).withColumn("month", part["month"]).repartition("year", "month").write.mode(mode).partitionBy("year", "month").parquet(path)
+    df.withColumn("year", part["year"]).withColumn("month", part["month"]).hint("rebalance", "year", "month").write.mode(mode).partitionBy("year", "month").parquet(path)
 
 
 def write_vectors(df: DataFrame, path: str) -> None:

@@ -100,6 +100,102 @@ def test_extract_resume_sample_and_generate(spark, tmp_path):
     assert {r.error for r in agents.queries_for(order, Broken).collect()} == {"RuntimeError: no"}
 
 
+AUTHOR = """
+class Author:
+    def __init__(self, model_name="m"):
+        self.model_name = model_name
+
+    def chat(self, messages, temperature, image=None):
+        return '{"verdict": "ACCEPT"}' if "Proposed query" in messages[-1]["content"][-1]["text"] else '{"query": "by %s"}' % self.model_name
+"""
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    import io
+    import sys
+
+    out, source = str(tmp_path / "o"), str(tmp_path / "pages")
+    spark.createDataFrame([(f"2410.{i:05d}", f"https://example.org/{i}", PAGE) for i in range(1, 7)], schemas.PAGES).write.parquet(source)
+    feed = '<feed><entry><category term="cs.LG"/></entry></feed>'
+    spark.createDataFrame([(f"2410.{i:05d}", feed) for i in range(1, 7)], "paper_id string, xml string").write.parquet(str(tmp_path / "feeds"))
+    cli.main(["--log-dir", str(tmp_path / "log"), "extract", "--pages", source, "--out", out, "--kind", "figures", "--feeds", str(tmp_path / "feeds")], spark)
+    assert not files.exists(spark, f"{out}/tables") and {r.categories for r in spark.read.parquet(f"{out}/metadata").collect()} == {"cs.LG"}
+    assert {r.item_type for r in spark.read.parquet(f"{out}/item_captions").collect()} == {"figure"}
+    [log] = (tmp_path / "log").iterdir()
+    assert log.name.startswith("extract-") and "6 pages written" in log.read_text()
+    cli.main(["extract", "--pages", source, "--out", str(tmp_path / "t"), "--kind", "tables"], spark)
+    assert not files.exists(spark, f"{tmp_path}/t/captions") and files.read_tables(spark, f"{tmp_path}/t/tables").count() > 0
+
+    (tmp_path / "author_of_tests.py").write_text(AUTHOR)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "author_of_tests.py"))
+    cli.main(["generate", "--data", out, "--out", str(tmp_path / "q"), "--model", "author_of_tests:Author", "--model-name", "x", "--target", "2"], spark)
+    found = files.read_tsv(spark, str(tmp_path / "q"), schemas.GENERATED)
+    assert {r.query for r in found.collect()} == {"by x"} and found.count() == 2
+
+    words = ["red apple", "green pear", "blue plum"]
+    single = spark.createDataFrame([("p", str(i), [float(x) for x in v]) for i, v in enumerate(encoders.hashed_text(64)(words))], "paper_id string, fig_id string, embedding array<double>")
+    single.withColumn("embedding", F.col("embedding").cast("array<float>")).write.parquet(str(tmp_path / "v"))
+    multi = [(f"p_{i}", v.tolist()) for i, v in enumerate(encoders.hashed_words(64)(words))]
+    spark.createDataFrame(multi, "image_id string, patches array<array<double>>").write.parquet(str(tmp_path / "m"))
+    rows = [("p", str(i), w, "", "") for i, w in enumerate(words)]
+    sinks.overwrite_tsv(spark.createDataFrame(rows, "`Paper ID` string, `Figure ID` string, `Query 1` string, `Query 2` string, `Query 3` string"), str(tmp_path / "e"))
+    for kind, path in (("single", "v"), ("multi", "m")):
+        cli.main(["evaluate", "--kind", kind, "--vectors", str(tmp_path / path), "--queries-tsv", str(tmp_path / "e"), "--top-k", "1"], spark)
+        assert "|3        |0" in capsys.readouterr().out
+        cli.main(["search", "--kind", kind, "--vectors", str(tmp_path / path), "--query", "green pear", "--top-k", "1"], spark)
+        assert capsys.readouterr().out.startswith("green pear\t1\tp_1\t")
+    monkeypatch.setattr(sys, "stdin", io.StringIO("blue plum\n\nred apple\n"))
+    cli.main(["search", "--vectors", str(tmp_path / "v"), "--top-k", "1"], spark)
+    assert [line.split("\t")[2] for line in capsys.readouterr().out.strip().split("\n")] == ["p_2", "p_0"]
+
+
+def test_months_stop_at_the_limit(spark, tmp_path, monkeypatch):
+    asked = []
+
+    def fetched(ids, base_url, **options):
+        some = sorted(r.paper_id for r in ids.collect())
+        asked.extend(some)
+        return spark.createDataFrame([(i, "u", PAGE) for i in some if int(i[-1]) % 2], schemas.PAGES)
+
+    monkeypatch.setattr(jobs.pages, "fetched", fetched)
+    assert jobs.extract_months(spark, "b", ["24"], ["10", "11"], str(tmp_path / "o"), limit=3, step=4) == 3
+    assert asked == [f"2410.{i:05d}" for i in range(1, 9)] and spark.read.parquet(str(tmp_path / "o/done")).count() == 3
+    assert jobs.extract_months(spark, "b", ["24"], ["10"], str(tmp_path / "o"), start=5, end=10, limit=2, step=4) == 2
+
+
+def test_searches_in_blocks(spark):
+    """Blocks of queries against parts of the corpus give the rows of one broadcast block."""
+    import random
+
+    from paperloom.operators import retrieve
+
+    rng = random.Random(3)
+    e = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(80)], "id long, embedding array<double>")
+    q = e.filter("id % 5 = 0")
+    targets = q.select(F.col("id").alias("query_id"), ((F.col("id") + 1) % 80).alias("target_id"))
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    monkey = pytest.MonkeyPatch()
+    plain = rows(retrieve.top_k(q, e, 3)), rows(retrieve.target_ranks(q, e, targets))
+    bundles = e.select(F.col("id").alias("image_id"), F.array("embedding", "embedding").alias("patches"))
+    asked = q.select(F.col("id").alias("query_id"), F.array("embedding").alias("tokens"))
+    wanted = targets.withColumnRenamed("target_id", "image_id")
+    multi = rows(retrieve.max_sim_top_k(asked, bundles, 3)), rows(retrieve.max_sim_ranks(asked, bundles, wanted))
+    own = {r.query_id: np.array(r.tokens) for r in asked.collect()}
+    patches = {r.image_id: np.array(r.patches) for r in bundles.collect()}
+    best = sorted((round(-retrieve.max_sim(own[5], p), 9), i) for i, p in patches.items())[:3]
+    assert [(round(-r[2], 9), r[1]) for r in multi[0] if r[0] == 5] != [] and sorted((round(-r[2], 9), r[1]) for r in multi[0] if r[0] == 5) == best
+    with monkey.context() as m:
+        m.setattr(retrieve._met, "__defaults__", (7,))  # parts of seven rows
+        assert (rows(retrieve.top_k(q, e, 3, block=4)), rows(retrieve.target_ranks(q, e, targets, block=4))) == plain
+        got = rows(retrieve.max_sim_top_k(asked, bundles, 3, block=4)), rows(retrieve.max_sim_ranks(asked, bundles, wanted, block=4))
+    assert [r[:2] + r[3:] for r in got[0]] == [r[:2] + r[3:] for r in multi[0]] and got[1] == multi[1]
+    assert retrieve.top_k(q.limit(0), e, 3).count() == 0 == retrieve.max_sim_top_k(asked, bundles.limit(0), 3).count()
+
+
 def test_evaluation(spark):
     words = [f"alpha{i} beta{i} gamma{i}" for i in range(30)]
     vectors = spark.createDataFrame([("p", str(i), w) for i, w in enumerate(words)], "paper_id string, fig_id string, w string")
