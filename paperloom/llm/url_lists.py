@@ -13,7 +13,9 @@ pages) is split by adaptive execution, as the intervals of one key are few.
 
 Nulls and edge cases: a null or hostless URL, or a null time, matches nothing; events with a
 null pattern, time or action are ignored; of events on the same instant an addition counts
-(repeats are one event); hosts compare in lower case without user, port or trailing dot.
+(repeats are one event); hosts compare in lower case without user, port or trailing dot;
+repeated captures are judged alike, and a URL of any length is read whole. Extra columns of
+either side are left out, and columns may have any name.
 """
 
 from __future__ import annotations
@@ -58,17 +60,28 @@ def intervals(entries: DataFrame) -> DataFrame:
     return events.withColumn("valid_to", F.lead("at").over(order)).filter("adds").select("list", "scope", "pattern", F.col("at").alias("valid_from"), "valid_to")
 
 
+def _asked(captures: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:
+    return captures.select(F.col(id_col).alias("__loom_id"), F.col(url_col).alias("__loom_url"), F.col(time_col).alias("__loom_t"))
+
+
 def active_matches(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:
-    """(id, list, scope, pattern, valid_from) of every entry active for a capture when it was fetched."""
-    asked = captures.select(F.col(id_col).alias("id"), F.col(time_col).alias("t"), F.explode(keys_of(F.col(url_col))).alias("k")).select("id", "t", F.col("k.scope").alias("scope"), F.col("k.key").alias("key"))
-    spans = intervals(entries).withColumnRenamed("scope", "s")
-    inside = (F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to")))
-    return asked.join(spans, (F.col("scope") == F.col("s")) & (F.col("key") == F.col("pattern")) & inside).select("id", "list", "scope", "pattern", "valid_from")
+    """(id, url, t, list, scope, pattern, valid_from) of every entry active for a distinct capture when it was fetched."""
+    asked = _asked(captures, id_col, url_col, time_col).distinct().select("*", F.explode(keys_of(F.col("__loom_url"))).alias("k"))
+    spans = intervals(entries)
+    inside = (F.col("__loom_t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("__loom_t") < F.col("valid_to")))
+    met = asked.join(spans, (F.col("k.scope") == F.col("scope")) & (F.col("k.key") == F.col("pattern")) & inside)
+    return met.select(F.col("__loom_id").alias("id"), F.col("__loom_url").alias("url"), F.col("__loom_t").alias("t"), "list", "scope", "pattern", "valid_from")
 
 
 def judged(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
-    """Each capture's (id, url, time) with n_active, the lists that name it, its latest entry and whether it is blocked."""
+    """Each capture's (id, url, time) with n_active, the lists that name it, its latest entry and whether it is blocked.
+
+    A row is judged by its id, URL and time together, so rows that share an id are told apart.
+    """
     hits = active_matches(captures, entries, id_col, url_col, time_col)
-    found = hits.groupBy("id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.max("valid_from").alias("latest"))
-    rows = captures.select(F.col(id_col), F.col(url_col), F.col(time_col)).join(found, F.col(id_col) == F.col("id"), "left")
-    return rows.select(id_col, url_col, time_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_active"), F.coalesce("lists", F.lit("")).alias("lists"), "latest", F.coalesce(F.col("n") > 0, F.lit(False)).alias("blocked"))
+    found = hits.groupBy(*[F.col(c).alias(f"__hit_{c}") for c in ("id", "url", "t")]).agg(F.count("*").alias("__hit_n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("__hit_lists"), F.max("valid_from").alias("__hit_latest"))
+    same = [F.col(f"__loom_{c}").eqNullSafe(F.col(f"__hit_{c}")) for c in ("id", "url", "t")]
+    rows = _asked(captures, id_col, url_col, time_col).join(found, same, "left")
+    return rows.select(
+        F.col("__loom_id").alias(id_col), F.col("__loom_url").alias(url_col), F.col("__loom_t").alias(time_col), F.coalesce("__hit_n", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce("__hit_lists", F.lit("")).alias("lists"), F.col("__hit_latest").alias("latest"), F.coalesce(F.col("__hit_n") > 0, F.lit(False)).alias("blocked"))
