@@ -2,21 +2,32 @@
 
 The patterns give the base spans (assignments to a password-like name, access keys, long
 hexadecimal runs). The field tags every token as O, B or I from its shape, the hashed words
-beside it and features of the whole text; it is trained in numpy, by gradient steps on the
-exact log-likelihood, on a bounded sample of texts (``SAMPLE`` with and ``SAMPLE`` without
-base spans), the base spans serving as labels. Spans of the field that touch no base span
-are added with kind ``crf``.
+beside it and features of the whole text, and adds the spans that touch no base span, with
+kind ``crf``. It is trained in numpy, by gradient steps on the exact log-likelihood.
+
+No labels exist, so the base spans serve as labels, and the field would only learn the
+patterns again. Each span is therefore also shown in forms that no pattern knows: without its
+name, under another word of the text and another separator, in upper case, and as letters
+and digits of both cases and of other lengths. Windows without secrets are taken at random,
+around a text's longest token, and around paths, dates, addresses and numbers made of its own
+words. Spans of digits alone teach nothing: the field leaves them to the patterns.
+
+Training reads the texts with the smallest share of hashes, about ``TEXTS`` of them, chosen
+before any text reaches Python, and keeps at most ``SAMPLE`` windows of either kind.
 
 Decoding is exact. A token whose score for O leads by more than any change of its two
 transitions could repay is O on every best path, so only the runs between such tokens go
 through Viterbi, all runs of a block in step. One pass over whole texts, no shuffle.
 
 Nulls and edge cases: null and empty texts have no spans; positions are code points; letter
-case is that of ASCII; a text without tokens is skipped; a field that saw no span adds none.
+case is that of ASCII; a text without tokens is skipped; a null id is kept; repeated rows are
+scanned alike; a text of any length is read whole, one too long for a block in one piece; a
+field that saw no span adds none. Extra columns are left out and may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,9 +40,17 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, batch_of, mix, prefix_hashes, span_hashes, text_blocks
 
 KINDS = ("assign", "access", "hex", "crf")
-SAMPLE = 1500
+#: Texts that are read for training, about.
+TEXTS = 20_000
+#: Windows with secrets, and windows without.
+SAMPLE = 3000
 WINDOW = 48
+#: Bytes on either side of a span in an example.
+BESIDE = 240
 ROUNDS = 60
+#: Tokens of a run that is decoded on its own, and runs decoded together.
+LONG = 512
+TOGETHER = 1 << 14
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -80,8 +99,13 @@ class Tokens:
     features: list[np.ndarray]
 
 
-#: Sizes of the feature tables: shape, mix of digits and letters, words before, after, and the file.
-TABLES = (8 * 32, 64, 1024, 1024, 1024, 16 * 4)
+#: Sizes of the feature tables: shape, mix of digits and letters, words before, after, the file, and turns between kinds.
+TABLES = (8 * 32, 64, 1024, 1024, 1024, 16 * 4, 8 * 32)
+#: Kind of a byte for turns within a token.
+_KIND = np.where(_DIGIT, 2, np.where(_UPPER, 1, np.where(_LOWER, 0, 3))).astype(np.int8)
+_KIND[128:] = 0
+_VOWEL = np.zeros(256, bool)
+_VOWEL[list(b"aeiouyAEIOUY")] = True
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -108,6 +132,10 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     turns = number(np.append(False, d[1:] != d[:-1])[: len(data)])
     length = np.searchsorted([4, 8, 12, 16, 24, 40, 80], size, "right")
     shape = length * 32 + (digits > 0) * 16 + (lower > 0) * 8 + (upper > 0) * 4 + (hexa == size) * 2 + (digits + lower + upper < size)
+    kinds = _KIND[data]
+    changes = number(np.append(False, kinds[1:] != kinds[:-1])[: len(data)])
+    vowels = number(_VOWEL[data])
+    texture = length * 32 + np.searchsorted([1, 2, 3, 4, 6, 9, 13], changes, "right") * 4 + np.minimum(3, vowels * 8 // np.maximum(1, lower + upper))
     ratio = np.minimum(3, digits * 4 // size)
     blend = ratio * 16 + np.minimum(3, (turns + 1) // 2) * 4 + np.minimum(3, (upper * 4) // size)
     word = span_hashes(prefix_hashes(ASCII_LOWER[data]), starts, ends)
@@ -125,7 +153,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     named = np.bincount(doc, digits >= 4, docs)
     file = np.minimum(3, np.log10(count).astype(np.int64)) * 4 + np.minimum(3, named.astype(np.int64))
     strong = (digits > 0) * 1 + (size >= 12) * 2
-    return Tokens(starts, ends, doc, [shape, blend, beside(1), beside(2), beside(-1), file[doc] * 4 + strong])
+    return Tokens(starts, ends, doc, [shape, blend, beside(1), beside(2), beside(-1), file[doc] * 4 + strong, texture])
 
 
 @dataclass
@@ -160,13 +188,18 @@ class Field:
         head, lens = at[head[order]], lens[order]
         closed = head + lens < n
         closed[closed] = ~new[head[closed] + lens[closed]]
-        back = np.zeros((int(lens[0]), len(head), 3), np.int8) if int(lens[0]) * len(head) < 30_000_000 else None
-        if back is None:  # very long runs are decoded apart from the rest
-            for lo, hi in ((0, 1), (1, len(head))):
-                for i in range(lo, hi):
-                    self._one(e, out, int(head[i]), int(lens[i]), bool(new[head[i]]), bool(closed[i]))
-            return out
-        best = np.where(new[head][:, None], self.start, self.moves[0]) + e[head]
+        long = int(np.searchsorted(-lens, -LONG, "left"))
+        for i in range(long):  # a very long run is decoded apart from the rest
+            self._one(e, out, int(head[i]), int(lens[i]), bool(new[head[i]]), bool(closed[i]))
+        for lo in range(long, len(head), TOGETHER):
+            part = slice(lo, lo + TOGETHER)
+            self._runs(e, out, head[part], lens[part], new[head[part]], closed[part])
+        return out
+
+    def _runs(self, e, out, head, lens, first, closed):
+        """Viterbi over runs in step, the longest first."""
+        back = np.zeros((int(lens[0]), len(head), 3), np.int8)
+        best = np.where(first[:, None], self.start, self.moves[0]) + e[head]
         for t in range(1, int(lens[0])):
             live = int(np.searchsorted(-lens, -t, "left"))
             step = best[:live, :, None] + self.moves
@@ -178,7 +211,6 @@ class Field:
             out[head[:live] + t] = label[:live]
             if t:
                 label[:live] = back[t, np.arange(live), label[:live]]
-        return out
 
     def _one(self, e, out, head, n, first, closed):
         best = (self.start if first else self.moves[0]) + e[head]
@@ -275,8 +307,85 @@ def _block_base(data, offsets):
     return found
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Fit on windows of at most ``sample`` texts with base spans and as many without, by hash of their id."""
+_TOKENS = re.compile(rb"[A-Za-z\x80-\xff]+")
+_SEPARATORS = (b": ", b"=", b" = ", b" ", b"' : '", b":")
+_ALPHABETS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_/+", b"abcdefghijklmnopqrstuvwxyz0123456789", b"ABCDEF0123456789")
+
+
+def _drawn(key: bytes, n: int) -> list[int]:
+    """``n`` numbers that follow from ``key``."""
+    return list(hashlib.shake_128(key).digest(n))
+
+
+def _shown(raw: bytes, start: int, end: int, secret: int) -> list[tuple[bytes, int, int]]:
+    """(text, start, end of the value) of the forms in which a span is shown."""
+    left, right, value = raw[max(0, start - BESIDE) : start], raw[end : end + BESIDE], raw[secret:end]
+    pick = _drawn(raw[start:end] + b"|%d" % start, 64)
+    words = _TOKENS.findall(left + b" " + right) or [b"x"]
+    name = words[pick[0] % len(words)][:20] + _SEPARATORS[pick[1] % len(_SEPARATORS)]
+    out = [(left + raw[start:end] + right, secret - start, end - start)]
+    for k, (cue, alphabet) in enumerate(((b"", None), (name, None), (name, _ALPHABETS[0]), (b"", _ALPHABETS[pick[2] % 4]), (name, _ALPHABETS[pick[3] % 4]))):
+        v = value
+        if alphabet:
+            v = bytes(alphabet[i % len(alphabet)] for i in _drawn(value + b"%d" % k, 18 + pick[4 + k] % 30))
+        elif k and not pick[9] % 2:
+            v = value.upper()
+        out.append((left + cue + v + right, len(cue), len(cue) + len(v)))
+    return [(t, len(left) + a, len(left) + b) for t, a, b in out]
+
+
+def _plain(raw: bytes) -> list[bytes]:
+    """A text's words as a path, an address, a name of several parts, and beside a date and numbers."""
+    words = _TOKENS.findall(raw[:4000])[:40]
+    if len(words) < 8:
+        return []
+    d = _drawn(raw[:4000], 24)
+    w = [words[i % len(words)] for i in d]
+    made = (
+        b"/" + b"/".join(w[:4]) + b"%d.%d/" % (d[0] % 4, d[1]) + w[4] + b".py", w[0] + b".%d@" % d[2] + w[1] + b"%d.example.org" % d[3], b"_".join(w[2:6]) + b"_%d" % d[4],
+        b"20%02d-%02d-%02dT%02d:%02d:%02d.%03dZ" % (d[5] % 40, 1 + d[6] % 12, 1 + d[7] % 28, d[8] % 24, d[9] % 60, d[10] % 60, d[11]), b"%d%03d%03d%03d" % (1 + d[12], d[13], d[14], d[15]), w[6].capitalize() + w[7].capitalize() + w[8].capitalize() + b"%d" % (d[16] % 9), b"v%d.%d.%d-" % (d[17], d[18], d[19]) + w[9], w[10] + b"-" + w[11] + b"-%d" % d[20],
+    )
+    return [b" ".join([*words[:12], made[(d[21] + j) % len(made)], *words[12:24], made[(d[21] + j + 4) % len(made)], *words[24:]]) for j in range(2)]
+
+
+def _window(tok: Tokens, y: np.ndarray, lo: int, hi: int, mid: int) -> tuple[bytes, bytes]:
+    a = max(lo, min(mid - WINDOW // 2, hi - WINDOW))
+    z = min(hi, a + WINDOW)
+    return np.stack([x[a:z] for x in tok.features]).astype(np.int32).tobytes(), y[a:z].astype(np.int8).tobytes()
+
+
+def examples(raw: bytes, base: list[tuple[int, int, int, int]]) -> list[tuple[bool, bytes, bytes]]:
+    """(with a secret, features, labels) of the windows that one text gives."""
+    out, taught = [], {}
+    for start, _, end, secret in base:
+        if not raw[secret:end].isdigit():
+            taught.setdefault(secret, (start, end, secret))
+    texts = [f for span in taught.values() for f in _shown(raw, *span)]
+    texts += [(t, -1, -1) for t in _plain(raw)] + ([] if base else [(raw, -1, -1)])
+    for lo in range(0, len(texts), 64):
+        part = texts[lo : lo + 64]
+        offsets = np.append(0, np.cumsum([len(t) for t, _, _ in part]))
+        data = np.frombuffer(b"".join(t for t, _, _ in part), np.uint8)
+        tok, found = tokens_of(data, offsets), _block_base(data, offsets)
+        first = np.searchsorted(tok.doc, np.arange(len(part) + 1)).tolist()
+        spans = [(s + int(offsets[i]), k, e + int(offsets[i]), v + int(offsets[i])) for i, f in enumerate(found) for s, k, e, v in f if not part[i][0][v:e].isdigit()]
+        spans += [(a + int(offsets[i]), 0, b + int(offsets[i]), a + int(offsets[i])) for i, (_, a, b) in enumerate(part) if a >= 0]
+        y = _labels(tok, spans)
+        for i, (_, a, _) in enumerate(part):
+            x, z = first[i], first[i + 1]
+            if x == z:
+                continue
+            if a >= 0:
+                out.append((True, *_window(tok, y, x, z, int(np.searchsorted(tok.starts, a + int(offsets[i]))))))
+            else:
+                size = (tok.ends - tok.starts)[x:z]
+                for mid in {x + int(size.argmax()), x + (z - x) // 2}:
+                    out.append((False, *_window(tok, y, x, z, mid)))
+    return out
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, texts: int = TEXTS) -> Field:
+    """Fit on at most ``sample`` windows with secrets and as many without, of about ``texts`` texts, by hash."""
     schema = pa.schema([("h", pa.int64()), ("some", pa.bool_()), ("f", pa.binary()), ("y", pa.binary())])
 
     def least(rows: list[tuple]) -> list[tuple]:
@@ -291,22 +400,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     def cut(batches):
         kept: list[tuple] = []
         for b, data, offsets in text_blocks(batches, "text"):
-            tok, found = tokens_of(data, offsets), _block_base(data, offsets)
-            first = np.searchsorted(tok.doc, np.arange(len(found) + 1))
-            for i, f in enumerate(found):
-                lo, hi = int(first[i]), int(first[i + 1])
-                if lo == hi:
-                    continue
-                o = int(offsets[i])
-                y = _labels(tok, [(a + o, k, e + o, s + o) for a, k, e, s in f])[lo:hi] if f else np.zeros(hi - lo, np.int8)
-                hot = np.flatnonzero(y)
-                key = b.column(0)[i].as_py()
-                mid = int(hot[0]) if len(hot) else key % (hi - lo)
-                a = max(0, min(mid - WINDOW // 2, hi - lo - WINDOW))
-                z = min(hi - lo, a + WINDOW)
-                kept.append((key, bool(len(hot)), np.stack([x[lo + a : lo + z] for x in tok.features]).astype(np.int32).tobytes(), y[a:z].tobytes()))
-            kept = least(kept)
-        yield emitted(kept)
+            raw, edge = data.tobytes(), offsets.tolist()
+            for i, (h, base) in enumerate(zip(b.column(0).to_pylist(), _block_base(data, offsets))):
+                for n, (some, f, y) in enumerate(examples(raw[edge[i] : edge[i + 1]], base)):
+                    kept.append((int.from_bytes(hashlib.blake2b(b"%d:%d" % (h, n), digest_size=8).digest(), "little", signed=True), some, f, y))
+                if len(kept) > 4 * sample:
+                    kept = least(kept)
+        yield emitted(least(kept))
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
@@ -314,9 +414,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             kept = least(kept + list(zip(*(b.column(f.name).to_pylist() for f in schema))))
         yield emitted(kept)
 
-    # each task sends its smallest; two levels of merges hold no more than the sample
     form = "h long, some boolean, f binary, y binary"
-    rows = docs.select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, form)
+    every = max(1, docs.count() // texts)
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("id"), F.col(text_col).alias("text"))
+    # rows that repeat id and text count once, so a hot row adds one text
+    rows = rows.filter(F.pmod("id", F.lit(every)) == 0).distinct().mapInArrow(cut, form)
     some = rows.withColumn("part", F.spark_partition_id() % 32).groupBy("part").applyInArrow(merge, form).withColumn("part", F.lit(0)).groupBy("part").applyInArrow(merge, form)
     windows = []
     for r in sorted(some.toArrow().to_pylist(), key=lambda r: (r["h"], r["f"])):
