@@ -6,6 +6,7 @@ Everything here is bounded: a task holds one Arrow batch and works on it in bloc
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands at once.
 BLOCK_BYTES = 1 << 20
@@ -47,14 +49,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def removed(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`written` that no later plan reads, and have the driver drop the shuffle files of finished jobs."""
+    for df in tables:
+        path = getattr(df, "_loom_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+    if tables and tables[0] is not None:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def release() -> None:
+    """Give freed memory back to the system; a worker would keep it until it ends."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -63,9 +81,15 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, target: int) -> int:
-    """Partitions of about ``target`` estimated bytes, at least as many as the session shuffles into."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, -(-estimated_bytes(df) // target)))
+    """Partitions of about ``target`` estimated bytes, at least as many as the session shuffles into.
+
+    A plan of unknown size (of local rows or an RDD) is measured.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(df)
+    if size >= 1 << 60:
+        texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+        size = int(df.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(8)))).first()[0] or 0)
+    return max(least, -(-size // target))
 
 
 def text_blocks(
@@ -86,6 +110,8 @@ def text_blocks(
             end = min(n, max(at + 1, end))
             yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             at = end
+        del batch, col, data, offsets
+        release()
 
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
