@@ -13,7 +13,8 @@ driver. Everything else covers all rows.
 
 Nulls and edge cases: null and empty texts have no features and score the model's bias;
 null labels and null ids are left out of training; an id with several labels counts as 1 if
-any is 1; without labels of both classes every score is the share of 1 (0.5 for none).
+any is 1, and rows that repeat an id train as one; a text of any length is read whole, in
+blocks; without labels of both classes every score is the share of 1 (0.5 for none).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import IS_BLANK, batch_of, mix, prefix_hashes, span_hashes, text_blocks, words_of
 
@@ -66,7 +68,7 @@ def counted(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
     keys = np.concatenate([d * BUCKETS + b for d, b in features(data, offsets)] or [np.zeros(0, np.int64)])
     key, count = np.unique(keys, return_counts=True)
     cut = np.searchsorted(key, np.arange(n + 1) * BUCKETS)
-    return [((key[a:b] % BUCKETS).astype(np.int32), np.minimum(count[a:b], 65535).astype(np.uint16)) for a, b in zip(cut, cut[1:])]
+    return [((key[a:b] % BUCKETS).astype(np.int32), count[a:b].astype(np.int32)) for a, b in zip(cut, cut[1:])]
 
 
 @dataclass
@@ -138,10 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = counted(data, offsets)
             yield batch_of(schema, id=b.column(0), label=b.column(1), buckets=[x.tobytes() for x, _ in found], counts=[c.tobytes() for _, c in found])
 
+    # rows that repeat an id are one training row, the one with the greatest text
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id").agg(F.max("label").alias("label"), F.max("text").alias("text"))
     got = texts.select("id", "label", "text").mapInArrow(run, "id long, label int, buckets binary, counts binary").toArrow()
     ids, labels_of = (got.column(c).to_numpy() for c in ("id", "label"))
-    raw = [_views(got.column(c), kind) for c, kind in (("buckets", np.int32), ("counts", np.uint16))]
+    raw = [_views(got.column(c), kind) for c, kind in (("buckets", np.int32), ("counts", np.int32))]
     order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(b"%d" % ids[i]), ids[i], len(raw[0][i]), raw[0][i].tobytes()[:64]))
     model = fit([(int(labels_of[i]), raw[0][i], raw[1][i]) for i in order if len(raw[0][i])])
     del got, raw  # the driver keeps nothing of the sample
@@ -160,16 +164,15 @@ def _views(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column of the probability of label 1, after all its own columns."""
+    """``docs`` with a column of the probability of label 1, after all its own columns (names may clash)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def run(texts):
-        import pandas as pd
-
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        batch = pa.RecordBatch.from_arrays([column], ["text"])
-        parts = [shipped.value.probabilities(data, offsets) for _, data, offsets in text_blocks(iter([batch]), "text", BLOCK)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches):
+        for batch in batches:
+            names = [*(f"c{i}" for i in range(at)), "text", *(f"c{i}" for i in range(at + 1, batch.num_columns))]
+            for rows, data, offsets in text_blocks(iter([batch.rename_columns(names)]), "text", BLOCK):
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shipped.value.probabilities(data, offsets))], [*docs_names, name])
 
-    return docs.withColumn(name, run(F.col(text_col)))
+    docs_names = docs.columns
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
