@@ -26,9 +26,9 @@ import pyarrow as pa
 from .common import prefix_hashes, span_hashes
 
 #: Bytes of text that are tokenised at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Pieces a worker keeps.
-KEPT = 900_000
+KEPT = 700_000
 #: Longer pieces are not kept.
 _LONGEST = 64
 _JOINED = 1024
@@ -195,10 +195,11 @@ class Encoder:
                 joined = [codecs.charmap_decode(line.join(w).encode(), "strict", self.letters)[0] for w in words]
             else:
                 joined = [line.join([texts[i] for i in p]) for p in parts]
-            for part, found in zip(parts, self._joined(tok, joined, mark)):
-                if len(found) == len(part):
-                    for i, ids in zip(part, found):
-                        out[i] = ids
+            for lo in range(0, len(parts), 8):
+                for part, found in zip(parts[lo : lo + 8], self._joined(tok, joined[lo : lo + 8], mark)):
+                    if len(found) == len(part):
+                        for i, ids in zip(part, found):
+                            out[i] = ids
         for i, found in enumerate(out):
             if found is None:
                 out[i] = np.array(self._plain(texts[i]), "<u4").tobytes()
