@@ -220,6 +220,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             break
         cut = level
     heavy = counts.filter(_level() >= cut).toArrow()
+    if not heavy.num_rows and distinct:  # the highest level alone is too large: the model's words are its first by hash, and all counts are joined
+        heavy = counts.orderBy(F.desc("c"), "h").limit(WORDS + 1).toArrow()
     hh, hc = heavy.column("h").to_numpy().view(np.uint64), heavy.column("c").to_numpy()
     order = np.lexsort((hh, -hc))
     hh, hc = hh[order], hc[order]
@@ -275,7 +277,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         _fit_inside(model, pairs(True).astype(float), word_count.astype(float))
     for _ in range(rounds):
         _round(rows, model, folds, held)
-    by = np.argsort(hh)
+    by = np.argsort(hh) if cut < 1 << 30 else np.zeros(0, np.int64)
     model.heavy, model.heavy_count, model.cut = hh[by], hc[by], cut
     return model, counts, tokens, distinct
 

@@ -102,11 +102,13 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray):
         n = len(text)
+        if n >= np.iinfo(np.int32).max:
+            raise OverflowError(f"{n} bytes are too many for one index")
         padded = np.append(text, np.zeros(8, np.uint8))
         key = np.zeros(n, np.uint64)
         for j in range(8):
             key = (key << np.uint64(8)) | padded[j : j + n]
-        sa = np.argsort(key, kind="stable").astype(np.int32)  # a shard's text is far below 2 GB
+        sa = np.argsort(key, kind="stable").astype(np.int32)
         # the rank of a suffix is the first slot of its class, from 1; past the end it is 0
         rank = np.zeros(n + 1, np.int32)
         slots, sorted_key, step = np.arange(n, dtype=np.int32), key[sa], 8
@@ -378,8 +380,6 @@ def _sent(hold, part: int, shards: int):
     ah, sh, ids, rows, start, span = (np.concatenate([h[k] for h in hold]) for k in range(6))
     to = (mix(ah) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    cut = np.searchsorted(to[order], np.arange(shards + 1))
-    for s in range(shards):
-        own = order[cut[s] : cut[s + 1]]
-        if len(own):
-            yield batch_of(_PART, shard=[s], part=[part], n=[len(own)], packed=[_pack(ah[own], sh[own], ids[own], rows[own], start[own], span[own])])
+    met, cut = np.unique(to[order], return_index=True)
+    for s, own in zip(met.tolist(), np.split(order, cut[1:])):
+        yield batch_of(_PART, shard=[s], part=[part], n=[len(own)], packed=[_pack(ah[own], sh[own], ids[own], rows[own], start[own], span[own])])

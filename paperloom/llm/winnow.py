@@ -13,7 +13,10 @@ shipped to the tasks and the texts are read once, with no shuffle. A larger benc
 one pass a block and the positions hit are united by document; results are the same.
 
 Nulls and edge cases: null and empty texts have no words and no hits; an item without words
-never occurs; items that repeat count by their distinct id; a null item id is ignored.
+never occurs; items that repeat count by their distinct id, which may be a number or text; a
+null item id is ignored; null document ids are kept, and repeated rows are judged alike; a
+text of any length is read whole, and a shared span is compared once however long it is.
+Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -67,7 +70,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray):
 class Index:
     """Kept k-grams and short phrases of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, k: int):
+    def __init__(self, items: list[tuple[str, str]], window: int, k: int):
         self.window, self.k, self.items = window, k, []
         grams: dict[int, list[tuple[int, int]]] = {}
         self.short: dict[int, dict[int, list[int]]] = {}
@@ -92,7 +95,8 @@ class Index:
         """(words of each text, {text: (positions hit, items)})."""
         low, starts, ends, first, hashes = split_words(data, offsets)
         raw = low.tobytes()
-        found: dict[int, tuple[set[int], set[int]]] = {}
+        seen: dict[tuple[int, int, int], int] = {}  # how far a text and an item have been compared, by the distance of their words
+        found: dict[int, tuple[set[int], set[str]]] = {}
 
         def word(i):
             return raw[starts[i] : ends[i]]
@@ -111,11 +115,14 @@ class Index:
                 lo_end, hi_end = int(first[doc]), int(first[doc + 1])
                 for number, q in self.places[p]:
                     item, words = self.items[number]
+                    if i < seen.get((doc, number, i - q), 0):
+                        continue
                     lo = hi = 0
                     while i + hi < hi_end and q + hi < len(words) and word(i + hi) == words[q + hi]:
                         hi += 1
                     while i - lo > lo_end and q - lo > 0 and word(i - lo - 1) == words[q - lo - 1]:
                         lo += 1
+                    seen[doc, number, i - q] = i + hi
                     if lo + hi >= self.window:
                         mark(doc, i - lo, i + hi, item)
         for n, phrases in self.short.items():
@@ -132,7 +139,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
     """Blocks of (item, text); the driver holds one block at a time."""
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).filter(F.col(text_col).isNotNull()).distinct()
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull()).distinct()
     held, size = [], 0
     for item, text in rows.toLocalIterator():
         held.append((item, text))
@@ -144,6 +151,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
         yield held
 
 
+def _with_last(blocks):
+    """Each block with whether it is the last; one block is held ahead."""
+    held = next(blocks, None)
+    while held is not None:
+        ahead = next(blocks, None)
+        yield held, ahead is None
+        held = ahead
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = K, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items array<string>) of every row.
 
@@ -160,18 +176,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 n, found = index.value.hits(data, offsets)
                 yield batch_of(raw, doc_id=b.column(0), rid=b.column(1), n_words=n,
                                hit=[sorted(found[i][0]) if i in found else [] for i in range(len(n))],
-                               items=[sorted(map(str, found[i][1])) if i in found else [] for i in range(len(n))])
+                               items=[sorted(found[i][1]) if i in found else [] for i in range(len(n))])
 
         return rows.mapInArrow(run, "doc_id long, rid long, n_words long, hit array<long>, items array<string>")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
-    passes = [one(rows, items) for items in _blocks(benchmark, item_col, item_text, block)] or [one(rows, [])]
-    out = passes[0]
-    if len(passes) > 1:
-        # only rows with hits are united; the first pass gives every row
-        more = reduce(DataFrame.unionByName, passes[1:]).filter("size(items) > 0").groupBy("rid").agg(
+    out, more = None, []
+    for items, last in _with_last(_blocks(benchmark, item_col, item_text, block)):
+        if out is None:
+            out = one(rows, items)  # the first pass gives every row
+            out = out if last else written(out, "winnowed")
+        else:  # of the others only rows with hits are kept; a pass ends before the next block is read
+            more.append(written(one(rows, items).filter("size(items) > 0"), "winnowed"))
+    out = out if out is not None else one(rows, [])
+    if more:
+        found = reduce(DataFrame.unionByName, more).groupBy("rid").agg(
             F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit2"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items2"))
-        out = out.join(more, "rid", "left").select(
+        out = out.join(found, "rid", "left").select(
             "doc_id", "rid", "n_words", F.array_union("hit", F.coalesce("hit2", F.array().cast("array<long>"))).alias("hit"),
             F.array_sort(F.array_union("items", F.coalesce("items2", F.array().cast("array<string>")))).alias("items"))
     return out.select(
@@ -186,10 +207,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     spark, hits, names = docs.sparkSession, "__loom_hits", docs.columns
     rows = docs.withColumn(hits, F.array().cast("array<long>"))
     at = names.index(text_col)
-    blocks = list(_blocks(benchmark, item_col, item_text, block))
-    for number, items in enumerate(blocks):
+    for items, last in _with_last(_blocks(benchmark, item_col, item_text, block)):
         index = spark.sparkContext.broadcast(Index(items, window, k))
-        last = number == len(blocks) - 1
 
         def run(batches, index=index, last=last):
             for b in batches:
