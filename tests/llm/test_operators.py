@@ -117,7 +117,11 @@ def test_simhash(docs, empty, rows):
     assert sh.near_duplicates(empty).count() == 0
 
 
-def test_ball_links_keep_every_pair(spark):
+def _signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def _balls():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 40).astype(np.uint64)
     fps = [int(b) for b in base]
@@ -127,36 +131,53 @@ def test_ball_links_keep_every_pair(spark):
             for bit in rng.choice(64, rng.integers(1, 6), replace=False):
                 x ^= 1 << int(bit)
             fps.append(x)
-    fps = dict(enumerate(dict.fromkeys(fps)))
-    signed = [(x - 2**64 if x >= 2**63 else x, i) for i, x in fps.items()]
-    links = sh.ball_links(spark.createDataFrame(signed, "fp long, node long"), group=8)
-    found = {r.node: r.component for r in sh.components(links).collect()}
-    assert {i: found.get(i, i) for i in fps} == components(fps)
+    dense = int(base[0])
+    fps += [dense ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)]
+    return list(dict.fromkeys(fps))
 
 
-def test_large_groups_are_split_alike(monkeypatch):
-    rng = np.random.default_rng(2)
-    fp = rng.integers(0, 2**12, 300).astype(np.uint64)
-    fp = np.unique(fp)
-    node, left = np.arange(len(fp)), np.full(len(fp), 2)
-    plain = sh._links(fp, node, left, list(range(12)), 4)
-    monkeypatch.setattr(sh, "MAX_VARIANTS", 500)
-    split = sh._links(fp, node, left, list(range(12)), 4)
-
-    def connected(pairs):
-        parent = list(range(len(fp)))
-
-        def root(i):
-            while parent[i] != i:
-                i = parent[i]
-            return i
-
-        for a, b in zip(*(p.tolist() for p in pairs)):
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-        return [root(i) for i in range(len(fp))]
-
-    assert connected(plain) == connected(split)
+@pytest.mark.parametrize(("hot", "variants"), [(1 << 18, 2_000_000), (16, 20_000)])
+def test_ball_links_keep_every_pair(spark, monkeypatch, hot, variants):
+    """Also where prefixes are shared by several tasks, and groups are split."""
+    monkeypatch.setattr(sh, "MAX_VARIANTS", variants)
+    fps = sorted(map(_signed, _balls()))
+    links = sh.ball_links(spark.createDataFrame([(x,) for x in fps], "fp long"), group=8, hot=hot)
+    found = {r.node: r.component for r in sh.components(links).collect()}
+    number = {x: i for i, x in enumerate(fps)}
+    want = components({i: x % 2**64 for x, i in number.items()})
+    assert {number[x]: number[found.get(x, x)] for x in fps} == want
+
+
+def test_links_are_few_in_dense_groups():
+    fp = np.sort(np.array(_balls(), np.uint64))
+    left, free = np.full(len(fp), 2), list(range(64))
+    pairs = sum(len(a) for a, _ in sh._meetings(fp, left, free))
+    for nearest in (False, True):
+        a, b = sh._links(fp, left, free, 4, nearest)
+        assert len(a) < len(fp) < pairs and len(set(b.tolist())) == len(b)
+        assert not nearest or (np.bitwise_count(a ^ b) <= 4).all()
+
+
+def test_near_duplicates_of_many_copies_and_null_ids(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    same = " ".join(words)
+    rows = [(i, same) for i in range(2000)] + [(5000, None), (4999, " "), (7, "a b c d e f"), (7, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sh.near_duplicates(df).collect()
+    assert len(got) == len(rows) and {r.component for r in got if r.id < 2000 and r.id != 7} == {0} and {r.component for r in got if r.id > 2000} == {4999}
+    links = sh.ball_links(sh.fingerprints(df).select("fp").distinct())
+    assert links.count() <= 3
+    # a row without an id joins the two beside it
+    def flipped(x, bits):
+        return _signed(x ^ sum(1 << b for b in bits))
+
+    x = rng.getrandbits(64)
+    fps = spark.createDataFrame([(1, _signed(x)), (None, flipped(x, [1, 2, 3, 4])), (2, flipped(x, range(1, 9))), (None, flipped(x, range(20, 40)))], "id long, fp long")
+    from unittest.mock import patch
+
+    with patch.object(sh, "fingerprints", lambda *a: fps):
+        assert sorted((r.id or 0, r.component or 0) for r in sh.near_duplicates(df).collect()) == [(0, 0), (0, 1), (1, 1), (2, 1)]
 
 
 def test_similar_groups(spark):
@@ -182,6 +203,14 @@ def _linked(texts, similarity=0.8, shingle=5):
     return {i: r for i, r in enumerate(root) if r < i}, pairs
 
 
+def test_marks_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(8)
+    for n, m, both in ((0, 0, 0), (5, 5, 5), (400, 420, 380), (3000, 3600, 2900), (900, 1100, 0), (70_000, 80_000, 69_000)):
+        shared, x, y = (rng.integers(0, 2**64, k, np.uint64) for k in (both, n - both, m - both))
+        most = sh._most_shared(sh._marks(np.append(shared, x)), sh._marks(np.append(shared, y)), n, m)
+        assert both <= most <= min(n, m) and (both or most < 0.75 * min(n, m) or not n)
+
+
 def test_similar_groups_are_complete(spark):
     rng = random.Random(19)
     texts = []
@@ -209,9 +238,8 @@ def test_similar_groups_in_crowds(spark):
     texts = [texts[i] for i in order]
     want, _ = _linked(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.node: r.component for r in sh.similar_groups(df, tables=1, crowd=16).collect()} == want
-    sets = sh.shingle_sets(df, "doc_id", "text", 5)
-    grams = sh.prefix_grams(sets, 0.8).withColumn("component", F.col("id")).filter(F.col("id").isin([i for i, k in enumerate(order) if 1520 <= k < 1720]))
+    assert {r.node: r.component for r in sh.similar_groups(df, tables=2, crowd=16).collect()} == want
+    grams = sh.prefix_grams(df, "doc_id", "text", 5, sh.frequent_grams(df, "doc_id", "text", 5), 0.8).withColumn("component", F.col("id")).filter(F.col("id").isin([i for i, k in enumerate(order) if 1520 <= k < 1720]))
     assert sh.prefix_pairs(grams, 0.8, crowd=16).filter("b is not null").count() < 200 * 25 < sh.prefix_pairs(grams, 0.8).count()
 
 
@@ -314,10 +342,20 @@ def test_exact_dedup(spark, docs, empty, rows):
     assert exact_dedup.keep(twice).count() == 3
 
 
-def test_exact_dedup_without_a_filter(docs, monkeypatch):
-    plain = _sorted(exact_dedup.annotate(docs), "doc_id", "keep_id", "group_size", "kept")
+def test_exact_dedup_with_a_large_filter(spark, docs, empty, monkeypatch):
+    """The filter is joined by shuffle, and hot slots and groups apart, with the same results."""
+    texts = ["hot"] * 300 + [f"t{i // 2}" for i in range(200)] + [f"u{i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    plain, kept = [_sorted(exact_dedup.annotate(d), *columns) for d in (df, docs)], _sorted(exact_dedup.keep(df), "doc_id")
     monkeypatch.setattr(exact_dedup, "MAX_WORDS", 0)
-    assert _sorted(exact_dedup.annotate(docs), "doc_id", "keep_id", "group_size", "kept") == plain
+    monkeypatch.setattr(exact_dedup, "_hot", lambda rows: 50)
+    assert [_sorted(exact_dedup.annotate(d), *columns) for d in (df, docs)] == plain
+    assert _sorted(exact_dedup.keep(df), "doc_id") == kept and len(kept) == 501
+    assert exact_dedup.annotate(empty).count() == 0
+    words, bits, few = exact_dedup.repeated_slots(df.select(F.xxhash64("text").alias("h")), "h", len(texts))
+    flagged = exact_dedup.maybe_repeated(df.withColumn("h", F.xxhash64("text")), "h", words, bits, few, 50, "again").filter("again").count()
+    assert not few and 500 <= flagged <= 520  # only possible repeats go on
 
 
 def test_language(docs, empty, rows):
@@ -368,7 +406,23 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
-def test_field_decodes_exactly():
+def _best(f, e):
+    best, back = f.start + e[0], []
+    for x in e[1:]:
+        step = best[:, None] + f.moves
+        back.append(step.argmax(0))
+        best = step.max(0) + x
+    label = [int(best.argmax())]
+    for b in back[::-1]:
+        label.append(int(b[label[-1]]))
+    return label[::-1]
+
+
+@pytest.mark.parametrize(("long", "together"), [(512, 1 << 14), (3, 2)])
+def test_field_decodes_exactly(monkeypatch, long, together):
+    """Also where very long runs are decoded apart, and few runs at once."""
+    monkeypatch.setattr(secrets, "LONG", long)
+    monkeypatch.setattr(secrets, "TOGETHER", together)
     rng = np.random.default_rng(6)
     f = secrets.Field([np.zeros((n, 3)) for n in secrets.TABLES], rng.normal(size=(3, 3)), rng.normal(size=3))
     f.moves[0, 2] = f.start[2] = -1e4
@@ -377,15 +431,86 @@ def test_field_decodes_exactly():
     got = f.decode(e, doc)
     for d in range(12):
         at = np.flatnonzero(doc == d)
-        best, back = f.start + e[at[0]], []
-        for t in at[1:]:
-            step = best[:, None] + f.moves
-            back.append(step.argmax(0))
-            best = step.max(0) + e[t]
-        label = [int(best.argmax())]
-        for b in back[::-1]:
-            label.append(int(b[label[-1]]))
-        assert got[at].tolist() == label[::-1]
+        assert got[at].tolist() == _best(f, e[at])
+
+
+def test_field_gradient(monkeypatch):
+    """One step of training follows the derivative of the log-likelihood, found by differences over all paths."""
+    import itertools
+
+    monkeypatch.setattr(secrets, "ROUNDS", 1)
+    monkeypatch.setattr(secrets, "TABLES", (4, 3))
+    rng = np.random.default_rng(1)
+    windows = [(np.stack([rng.integers(0, 4, n), rng.integers(0, 3, n)]), np.array(y)) for n, y in ((4, [0, 1, 2, 0]), (3, [1, 2, 2]), (2, [0, 0]))]
+
+    def loss(f):
+        total = 0.0
+        for x, y in windows:
+            e = f.emissions(list(x))
+            paths = [f.start[p[0]] + e[0, p[0]] + sum(f.moves[a, b] + e[t + 1, b] for t, (a, b) in enumerate(zip(p, p[1:]))) for p in itertools.product(range(3), repeat=len(y))]
+            own = f.start[y[0]] + e[0, y[0]] + sum(f.moves[a, b] + e[t + 1, b] for t, (a, b) in enumerate(zip(y, y[1:])))
+            total += np.log(np.exp(np.array(paths)).sum()) - own
+        return total
+
+    zero = secrets.Field([np.zeros((n, 3)) for n in (4, 3)], np.zeros((3, 3)), np.zeros(3))
+    zero.moves[0, 2] = zero.start[2] = -1e4
+    after = secrets.fit(windows)
+    for place, table in enumerate([*zero.tables, zero.moves]):
+        changed = [*after.tables, after.moves][place]
+        for at in np.ndindex(table.shape):
+            if table[at] > -1e3:
+                table[at] += 1e-5
+                up = loss(zero)
+                table[at] -= 2e-5
+                down = loss(zero)
+                table[at] += 1e-5
+                slope = (up - down) / 2e-5
+                assert np.isclose(changed[at], -0.4 * np.sign(slope), atol=1e-3) or abs(slope) < 1e-3  # Adagrad's first step
+
+
+def _base(text):
+    """The base spans by plain expressions over code points."""
+    import re
+
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16])
+
+
+def test_secrets_of_random_texts(spark):
+    """Base spans equal plain expressions, on texts made of the patterns' own pieces; repeated rows are alike."""
+    rng = random.Random(12)
+    pieces = ["password", "PASSWD", "Token", "api_key", "apikey", "secret", '"', "'", " ", "  ", ":", "=", "é", "日", "AKIA", "AKIAB7", "Q" * 9, "0123456789ab", "deadbeef", "/+_.-", "x", "\n", "ſ", "K"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += [texts[3], texts[3], "z" * 200_000 + " password=" + "q" * 40_000, None, ""]
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, h long")
+    for r in secrets.scan(df, secrets.fit([])).collect():
+        assert [(s.start, s.kind, s.end) for s in r.spans] == _base(texts[r.doc_id] or ""), texts[r.doc_id]
+
+
+def test_the_field_finds_secrets_that_no_pattern_knows(spark):
+    rng = random.Random(21)
+    words = [f"{a}{b}{c}" for a in ("re", "ton", "la", "mi") for b in ("der", "ca", "lu", "ste") for c in ("n", "ing", "sen", "t")]
+
+    def text(extra=()):
+        some = [rng.choice(words) for _ in range(60)]
+        some[rng.randint(5, 50)] = f"{rng.choice(words)}.{rng.randint(10, 99)}@mail.example.com"
+        at = rng.randint(1, 58)
+        return " ".join([*some[:at], *extra, *some[at:]])
+
+    def drawn(n):
+        return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+    known = [text(["token", "=", f'"{rng.getrandbits(160):040x}"']) for _ in range(150)]
+    plain = [text() for _ in range(450)]
+    field = secrets.train(spark.createDataFrame([(i, t) for i, t in enumerate(known + plain)], "doc_id long, text string"))
+    forms = [lambda: ["Authorization:", "Bearer", drawn(40)], lambda: ["pwd=", drawn(24)], lambda: [f"{rng.getrandbits(160):040X}"], lambda: ["ghp_" + drawn(36)]]
+    hidden = [forms[i % 4]() for i in range(200)]
+    held = [text(h) for h in hidden] + [text() for _ in range(400)]
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secrets.scan(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), field).collect()}
+    caught = sum(any(h[-1] in held[i][a:b] or held[i][a:b] in h[-1] for a, b in found[i]) for i, h in enumerate(hidden))
+    wrong = sum(len(v) for k, v in found.items()) - sum(len(found[i]) > 0 for i in range(200))
+    assert caught >= 180 and wrong <= 6, (caught, wrong)
 
 
 def test_url_lists(spark):
@@ -393,3 +518,210 @@ def test_url_lists(spark):
     events = [("l", "domain", "example.org", "add", 3), ("l", "domain", "example.org", "remove", 6), ("l", "domain", "example.org", "add", 9), ("m", "prefix", "a.b.example.org/x/", "add", 1), ("m", "host", "b.example.org", "add", 1), ("n", "url", "https://example.org/", "remove", 2), ("n", "domain", None, "add", 1), ("m", "prefix", "a.b.example.org/x/", "add", 1)]
     got = {r.page_id: (r.n_active, r.lists, r.latest, r.blocked) for r in url_lists.judged(captures, spark.createDataFrame(events, "list string, scope string, pattern string, action string, at int")).collect()}
     assert got == {1: (2, "l,m", 3, True), 2: (1, "l", 9, True), 3: (0, "", None, False), 4: (0, "", None, False), 5: (0, "", None, False), 6: (1, "m", 1, True)}
+
+
+def test_url_lists_of_repeated_rows_and_clashing_names(spark):
+    events = [("l", "host", "a.org", "add", 3), ("l", "host", "a.org", "add", 3), (None, "host", "a.org", "add", 3), ("m", "host", None, "add", 3)]
+    entries = spark.createDataFrame([(*e, "x", 7) for e in events], "list string, scope string, pattern string, action string, at int, url string, t int")
+    long = "http://a.org/" + "x/" * 3000
+    rows = [(1, "http://a.org/", 5), (1, "http://b.org/", 5), (1, "http://a.org/", 5), (1, "http://a.org/", 2), (None, "http://a.org/", 5), (2, "", 5), (3, long, 4)]
+    captures = spark.createDataFrame([(*r, "k", "p") for r in rows], "id long, latest string, t int, list string, pattern string")
+    got = sorted(((r[0] or 0, r[1][:14], r[2], r[3], r[6]) for r in url_lists.judged(captures, entries.filter("list is not null"), "id", "latest", "t").collect()))
+    assert got == sorted([(1, "http://a.org/", 5, 1, True), (1, "http://b.org/", 5, 0, False), (1, "http://a.org/", 5, 1, True), (1, "http://a.org/", 2, 0, False), (0, "http://a.org/", 5, 1, True), (2, "", 5, 0, False), (3, "http://a.org/x", 4, 1, True)])
+    assert url_lists.judged(captures.limit(0), entries, "id", "latest", "t").count() == 0
+    assert not url_lists.judged(captures, entries.limit(0), "id", "latest", "t").filter("blocked").count()
+
+
+AWKWARD = [(5, "b c"), (5, "b c"), (None, "b c"), (5, "a"), (None, None), (7, ""), (8, "é\u2028 x" * 3), (9, "one two three four five six seven eight nine ten eleven twelve thirteen"), (9, "one two three four five six seven eight nine ten eleven twelve thirteen")]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null and repeated ids, repeated rows, and columns with the names that operators use."""
+    rows = [(d, t, "x", 1, "y", 2.0) for d, t in AWKWARD]
+    return spark.createDataFrame(rows, "doc_id long, text string, id string, rid int, part string, score double").repartition(3)
+
+
+def test_packing_of_awkward_rows(awkward):
+    import collections
+
+    pieces = packing.pack(awkward, BYTE, 0, size=16).collect()
+    got = collections.Counter()
+    for p in pieces:
+        got[(p.doc_id, p.doc_tokens)] += p.length
+    want = collections.Counter()
+    for (d, _), x in zip(AWKWARD, ids([t for _, t in AWKWARD], BYTE)):
+        want[(d, len(x) + 1)] += len(x) + 1
+    assert got == want
+
+
+def test_token_planes_of_awkward_rows(awkward):
+    got = bitplanes.round_trip(awkward, WORD, 2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((d for d, _ in AWKWARD), key=lambda d: (d is not None, d)) and [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+
+
+def test_winnowing_of_awkward_rows(spark, awkward):
+    item = "nine " + AWKWARD[-1][1]
+    bench = spark.createDataFrame([("q7", item), ("q7", item), (None, "b c"), ("z", "")], "item_id string, text string")
+    want = sorted((contaminated(AWKWARD, [("q7", item), ("z", "")])), key=repr)
+    for block in (winnow.BLOCK, 10):
+        got = winnow.contaminated(awkward, bench, block=block)
+        assert sorted((tuple(r) for r in got.drop("items").collect()), key=repr) == want and got.count() == len(AWKWARD)
+        assert winnow.clean(awkward, bench, block=block).count() == sum(not w[-1] for w in want)
+
+
+def test_winnowing_compares_a_long_span_once():
+    import time
+
+    span = " ".join(f"w{i}" for i in range(20_000))
+    index = winnow.Index([("a", span)], 13, winnow.K)
+    began = time.time()
+    _, found = index.hits(*_block(["x " + span + " y"]))
+    assert len(found[0][0]) == 20_000 and time.time() - began < 5
+
+
+def test_near_duplicates_of_awkward_rows(awkward):
+    fps = {}
+    for d, t in AWKWARD:
+        fps.setdefault(simhash(t), []).append(d)
+    got = sh.near_duplicates(awkward).collect()
+    assert len(got) == len(AWKWARD)
+    for r in got:
+        own = [d for d in fps[r.fp % 2**64] if d is not None]
+        assert r.component == min(own) or r.component < min(own)
+    assert sh.keep_one(awkward).count() == len(AWKWARD)  # rows that share an id count as one document
+
+
+def test_repeats_of_awkward_rows(awkward):
+    long = AWKWARD * 1
+    got = rp.without_repeats(awkward, length=6, gram=3).collect()
+    order = sorted(((d if d is not None else -(10**18), t or "") for d, t in long), key=lambda r: r[0])
+    assert len(got) == len(AWKWARD) and sum(r.n_bytes for r in got) == sum(len(t.encode()) for _, t in order)
+    seen, gone = set(), 0
+    texts = sorted((t or "" for d, t in AWKWARD if d == 9))
+    for t in texts:  # the second of two equal rows goes whole
+        gone += len(t) if t in seen else 0
+        seen.add(t)
+    assert sum(r.n_removed for r in got if r.doc_id == 9) >= gone
+
+
+def test_language_of_awkward_rows(awkward):
+    model = language.train(awkward)
+    got = language.score(awkward, *model).collect()
+    assert len(got) == len(AWKWARD) and {(r.n_tokens, r.base_score) for r in got if r.doc_id == 7} == {(1, got[[r.doc_id for r in got].index(7)].base_score)}
+    same = [(r.base_score, r.score) for r in got if r.doc_id == 9]
+    assert same[0] == same[1] and all(np.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_language_scores_by_hand(docs, rows):
+    """Scores equal a plain walk over the same model's tables, token by token."""
+    import collections
+
+    model, counts, tokens, distinct = language.train(docs)
+    c = {r.h % 2**64: r.c for r in counts.collect()}
+    for r in language.score(docs, model, counts, tokens, distinct).collect():
+        text = next(t for d, t in rows if d == r.doc_id)
+        s = language.stream(*_block([text or ""]))
+        numbers, classes, total = [], [], 0.0
+        for h, spelling in zip(s.h.tolist(), s.spelling.tolist()):
+            at = model.words.tolist().index(h) if h in model.words.tolist() else -1
+            numbers.append(at if at >= 0 else language.WORDS + spelling)
+            classes.append(language.CLUSTERS if h == language.END else int(model.word_class[at]) if at >= 0 else language.CLUSTERS + 1 + spelling)
+        f = language.contexts(np.array(numbers), np.arange(len(numbers)))
+        for i, (h, k) in enumerate(zip(s.h.tolist(), classes)):
+            z = model.bias.astype(float) + sum(model.weights[row].astype(float) for row in f[:, i])
+            total += (z[k] - z.max() - np.log(np.exp(z - z.max()).sum())) / np.log(10)
+            before = classes[i - 1] if i else language.CLASSES
+            if k < language.CLUSTERS:
+                total += model.inside[before, numbers[i]] / np.log(10)
+            elif k > language.CLUSTERS:
+                total += np.log10(c.get(h, 0) + 1) - model.spell_total[k - language.CLUSTERS - 1]
+        assert abs(total - r.score) < 1e-3 * max(1, abs(total)), (total, r.score)
+    # given a class before, the shares of a class's words sum to one
+    groups = collections.defaultdict(list)
+    for word, k in enumerate(model.word_class.tolist()):
+        groups[k].append(word)
+    for own in groups.values():
+        assert np.allclose(np.exp(model.inside[:, own]).sum(1), 1, atol=1e-4)
+
+
+def test_language_without_heavy_tokens(docs, monkeypatch):
+    """Where the highest level of counts alone is too large, words are still chosen and all counts joined."""
+    whole = {r.doc_id: r for r in language.score(docs, *language.train(docs)).collect()}
+    monkeypatch.setattr(language, "HEAVY", 0)
+    trained = language.train(docs)
+    assert len(trained[0].words) > 0 and not len(trained[0].heavy)
+    for r in language.score(docs, *trained).collect():
+        assert r.n_known == whole[r.doc_id].n_known and abs(r.base_score - whole[r.doc_id].base_score) < 1e-6
+
+
+def _plain_hash(raw):
+    from paperloom.llm.common import mix
+
+    base = 0x9E3779B97F4A7C15
+    h = sum((b + 1) * pow(base, i, 2**64) for i, b in enumerate(raw)) + len(raw)
+    return int(mix(np.array([h % 2**64], np.uint64))[0])
+
+
+def test_quality_features_by_hand():
+    import collections
+    import re
+
+    from paperloom.llm.common import mix
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab é日 \n.") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", "   "]
+    got = [collections.Counter() for _ in texts]
+    for doc, bucket in quality.features(*_block(texts)):
+        for d, b in zip(doc.tolist(), bucket.tolist()):
+            got[d][b] += 1
+    for text, found in zip(texts, got):
+        want = collections.Counter()
+        words = [_plain_hash(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        want.update(w % quality.BUCKETS for w in words)
+        want.update(int(mix(np.array([(b - a + 0x51) % 2**64], np.uint64))[0]) % quality.BUCKETS for a, b in zip(words, words[1:]))
+        flat = re.sub(r"[\x09-\x0D]", " ", text)
+        for k in quality.GRAMS:
+            grams = [flat[i : i + k] for i in range(len(flat) - k + 1)]
+            want.update(_plain_hash(g.encode()) % quality.BUCKETS for g in grams if " " not in g[1:-1])
+        assert found == want, text
+
+
+def test_quality_training_by_hand(monkeypatch):
+    """The folded model equals plain stochastic gradient descent, feature by feature in double precision."""
+    monkeypatch.setattr(quality, "BUCKETS", 50)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(40):
+        bucket = np.sort(rng.choice(50, 6, replace=False)).astype(np.int32)
+        rows.append((i % 2, bucket, rng.integers(1, 4, 6).astype(np.int32)))
+    model = quality.fit(rows, seed=3)
+    draw = np.random.default_rng(3)
+    vectors = draw.uniform(-1 / quality.DIM, 1 / quality.DIM, (50, quality.DIM)).astype(np.float32).astype(float)
+    out, bias = draw.normal(0, 0.1, (quality.DIM, 2)).astype(np.float32).astype(float), np.zeros(2)
+    steps, step = quality.EPOCHS * len(rows), 0
+    for _ in range(quality.EPOCHS):
+        for i in draw.permutation(len(rows)):
+            rate, (label, bucket, count) = quality.RATE * (1 - step / steps), rows[i]
+            step += 1
+            hidden = sum(c * vectors[b] for b, c in zip(bucket, count)) / count.sum()
+            z = np.array([sum(hidden[d] * out[d, k] for d in range(quality.DIM)) + bias[k] for k in range(2)])
+            p = np.exp(z) / np.exp(z).sum() - np.eye(2)[label]
+            back = out @ p
+            for d in range(quality.DIM):
+                out[d] -= rate * hidden[d] * p
+            bias -= rate * 0.1 * p
+            for b, c in zip(bucket, count):
+                vectors[b] -= rate * 20 * c / count.sum() * back
+    assert np.allclose(model.weights, vectors @ (out[:, 1] - out[:, 0]), atol=1e-3) and abs(model.bias - (bias[1] - bias[0])) < 1e-3
+
+
+def test_quality_of_awkward_rows(spark, awkward):
+    labels = spark.createDataFrame([(5, 1), (9, 0), (7, 0), (None, 1), (8, None), (5, 0)], "doc_id long, quality int")
+    model = quality.train(awkward, labels)
+    got = quality.score(awkward, model, name="p")
+    assert got.columns == [*awkward.columns, "p"] and got.count() == len(AWKWARD) and all(0 < r.p < 1 for r in got.collect())
+    clash = quality.score(awkward.withColumnRenamed("part", "c0"), model, name="q").collect()
+    assert len(clash) == len(AWKWARD)
+    long = spark.createDataFrame([(1, "word " * 400_000), (2, None)], "doc_id long, text string")
+    assert all(0 < r.score < 1 for r in quality.score(long, model).collect())

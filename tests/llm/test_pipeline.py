@@ -50,3 +50,29 @@ def test_stages(spark):
         at[p.doc_id] = p.start + p.length
     assert at == {d: len(x) for d, x in whole.items()}
     assert cp.ORACLE_SQL is None and cp.run(spark, DIR).count() > 0
+
+
+def test_run_of_awkward_and_empty_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, long texts, extra columns and no rows at all."""
+    good = [(i, " ".join(f"{w}{i % 7}" for w in ["calm", "river", "stone", "light"] * 8), "en") for i in range(40)]
+    bad = [(i, "BUY!! NOW!! $$$ " * 12, "en") for i in range(40, 80)]
+    odd = [(90, None, None), (91, "", "en"), (92, "calm river stone light " * 20_000, "en"), (3, good[3][1], "en"), (None, "calm river stone " * 12, "en")]
+    schema = "doc_id long, text string, id string, component long, __loom_score int"
+    labels = [(i, int(i < 40), 0) for i in range(80)]
+    for name, rows in (("full", good + bad + odd), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame([(*r, i, 1) for i, r in enumerate(rows)], schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([("a", "calm4 river4 stone4 light4 " * 4)] if rows else [], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in cp.STAGES[:-1]:
+            docs = written(f(spark, docs, str(folder)), "t")
+            assert docs.columns == ["doc_id", "text", "id", "component", "__loom_score"], stage
+        pieces = cp.run(spark, str(folder)).collect()
+        kept = {r.doc_id for r in docs.collect()}
+        assert {p.doc_id for p in pieces} == kept
+        if rows:
+            assert not kept & set(range(40, 80)) and 92 in kept and None in kept
+            assert len({i % 7 for i in kept if i is not None and i < 40}) == len([i for i in kept if i is not None and i < 40]) == 6  # one of each text, and none of the benchmark's
+        else:
+            assert not pieces
