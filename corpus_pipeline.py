@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import exact_dedup, packing, quality, simhash, winnow
-from paperloom.llm.common import written
+from paperloom.llm.common import removed, written
 from paperloom.llm.tokens import vocabulary
 
 #: A document stays when the classifier gives it at least this probability of label 1.
@@ -21,7 +21,10 @@ THRESHOLD = 0.7
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, name="__loom_score").filter(F.col("__loom_score") >= THRESHOLD).select(*docs.columns)
+    name = "__loom_score"
+    while name in docs.columns:
+        name += "_"
+    return quality.score(docs, model, name=name).filter(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        removed(last)  # a stage's table goes when the next one's is written
     return STAGES[-1][1](spark, docs, sf_dir)
