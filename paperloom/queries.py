@@ -496,7 +496,10 @@ def page_title(spark, sf_dir):
     return extract.page_records(table(spark, sf_dir, "pages"), any_paragraph=True).select(F.col("paper_id").cast("long").alias("page_id"), "title")
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS parts FROM pages),
+    p AS (SELECT page_id, unnest(generate_series(2, len(parts))) AS i, parts FROM a),
+    t AS (SELECT page_id, i - 2 AS ord, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(parts[i], '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM p)
+    SELECT page_id, CAST(ord AS INTEGER) AS ord, text FROM t WHERE text <> ''""")
 def page_paragraphs(spark, sf_dir):
     """DOM-01/22: body paragraphs in order."""
     return extract.page_records(table(spark, sf_dir, "pages"), any_paragraph=True).select(F.col("paper_id").cast("long").alias("page_id"), F.explode("paragraphs").alias("p")).select("page_id", "p.ord", "p.text")
