@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import IS_BLANK, batch_of, mix, prefix_hashes, span_hashes, text_blocks, words_of
+from .common import IS_BLANK, batch_of, mix, prefix_hashes, release, span_hashes, text_blocks, words_of
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(b"%d" % ids[i]), ids[i], len(raw[0][i]), raw[0][i].tobytes()[:64]))
     model = fit([(int(labels_of[i]), raw[0][i], raw[1][i]) for i in order if len(raw[0][i])])
     del got, raw  # the driver keeps nothing of the sample
-    pa.default_memory_pool().release_unused()
+    release()
     return model
 
 

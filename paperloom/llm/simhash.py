@@ -24,7 +24,6 @@ columns may have any name.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -199,66 +198,72 @@ def _links(fp: np.ndarray, left: np.ndarray, free: list[int], radius: int, neare
 
 
 def ball_links(distinct: DataFrame, radius: int = 4, group: int = GROUP, nearest: bool = False, hot: int = HOT) -> DataFrame:
-    """Links (a, b) among distinct fingerprints (column fp) that connect all at ``radius`` or less; see :func:`_links`.
+    """Links (t, a, b) among distinct fingerprints (t, fp) of one or more tables t that connect all at ``radius`` or less; see :func:`_links`.
 
     A task sends the fingerprints of a prefix as one value. A prefix that more than ``hot``
     fingerprints reach goes to several tasks, each with the variants of one value of further
     bits, the best balanced ones of that prefix.
     """
     half = (radius + 1) // 2
-    stats = distinct.agg(F.count("*").alias("n"), *[F.avg(F.expr(f"getbit(fp, {b})")).alias(f"b{b}") for b in range(64)]).first()
+    bits = [F.avg(F.expr(f"getbit(fp, {b})")).alias(f"b{b}") for b in range(64)]
+    stats = {r["t"]: r for r in distinct.groupBy("t").agg(F.count("*").alias("n"), *bits).collect()}
     width = LEAST_BITS
-    while width < 40 and group << width < stats["n"]:
+    while width < 40 and group << width < max([r["n"] for r in stats.values()], default=0):
         width += 1
-    by_balance = sorted(range(64), key=lambda b: (abs((stats[f"b{b}"] or 0) - 0.5), b))
-    prefix, free = sorted(by_balance[:width]), sorted(by_balance[width:])
+    prefix, free = {}, {}
+    for t, r in stats.items():
+        by_balance = sorted(range(64), key=lambda b: (abs(r[f"b{b}"] - 0.5), b))
+        prefix[t], free[t] = sorted(by_balance[:width]), sorted(by_balance[width:])
     flips = _masks(list(range(width)), half)
     sent = pa.schema([("prefix", pa.int64()), ("fps", pa.binary())])
-    linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    linked = pa.schema([("t", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def emitted(fp: np.ndarray) -> pa.RecordBatch:
-        to = (_places(fp, prefix)[:, None] ^ flips[None, :]).ravel()
+    def emitted(t: int, fp: np.ndarray) -> pa.RecordBatch:
+        to = (_places(fp, prefix[t])[:, None] ^ flips[None, :]).ravel()
         order = np.argsort(to, kind="stable")
         to, fp = to[order], fp[order // len(flips)]
         cut = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
         fps = pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((8 * cut).astype(np.int32)), pa.py_buffer(fp)])
-        return batch_of(sent, prefix=to[cut[:-1]].view(np.int64), fps=fps)
+        return batch_of(sent, prefix=to[cut[:-1]].view(np.int64) + (t << 48), fps=fps)
 
     def send(batches):
-        held, size = [], 0
+        held: dict[int, list[np.ndarray]] = {t: [] for t in prefix}
         for b in batches:
-            held.append(b.column(0).to_numpy().view(np.uint64))
-            size += b.num_rows
-            if size * len(flips) > 2_000_000:
-                yield emitted(np.concatenate(held))
-                held, size = [], 0
-        if size:
-            yield emitted(np.concatenate(held))
+            own, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for t, parts in held.items():
+                parts.append(fp[own == t])
+                if sum(map(len, parts)) * len(flips) > 1_000_000:
+                    yield emitted(t, np.concatenate(parts))
+                    parts.clear()
+        for t, parts in held.items():
+            if sum(map(len, parts)):
+                yield emitted(t, np.concatenate(parts))
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         own, part = (k.as_py() for k in key)
-        bits = table.column("bits")[0].as_py()
+        t, own = own >> 48, own & ((1 << 48) - 1)
+        more = table.column("bits")[0].as_py()
         fp = np.sort(np.frombuffer(b"".join(table.column("fps").to_pylist()), np.uint64))
-        left, rest = half - np.bitwise_count(_places(fp, prefix) ^ np.uint64(own)).astype(np.int64), free
-        if bits:
-            chosen = _balanced(fp, free)[:bits]
-            rest = [b for b in free if b not in chosen]
+        left, rest = half - np.bitwise_count(_places(fp, prefix[t]) ^ np.uint64(own)).astype(np.int64), free[t]
+        if more:
+            chosen = _balanced(fp, rest)[:more]
+            rest = [b for b in rest if b not in chosen]
             left = left - np.bitwise_count(_places(fp, chosen) ^ np.uint64(part)).astype(np.int64)
             fp, left = fp[left >= 0], left[left >= 0]
         if len(fp) < 2:
             return linked.empty_table()
         a, b = _links(fp, left, rest, radius, nearest)
         release()
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)}, schema=linked)
+        return pa.table({"t": np.full(len(a), t, np.int32), "a": a.view(np.int64), "b": b.view(np.int64)}, schema=linked)
 
-    rows = distinct.select("fp").mapInArrow(send, "prefix long, fps binary")
+    rows = distinct.select(F.col("t").cast("int").alias("t"), "fp").mapInArrow(send, "prefix long, fps binary")
     sizes = rows.groupBy("prefix").agg((F.sum(F.length("fps")) / 8).alias("n")).filter(F.col("n") > hot)
     split = sizes.select("prefix", F.least(F.ceil(F.log2(F.col("n") / hot)), F.lit(16)).cast("int").alias("bits"))
     if split.isEmpty():
         rows = rows.withColumn("bits", F.lit(0)).withColumn("part", F.lit(0))
     else:
         rows = rows.join(split, "prefix", "left").withColumn("bits", F.coalesce("bits", F.lit(0))).withColumn("part", F.expr("explode(sequence(0, shiftleft(1, bits) - 1))"))
-    return rows.groupBy("prefix", "part").applyInArrow(meet, "a long, b long").distinct()
+    return rows.groupBy("prefix", "part").applyInArrow(meet, "t int, a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -292,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp long, component) of every row: the smallest id that its fingerprint reaches."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
-    found = components(ball_links(distinct, radius))
+    found = components(ball_links(distinct.withColumn("t", F.lit(0)), radius))
     named = distinct.join(found.select(F.col("node").alias("fp"), F.col("component").alias("first")), "fp", "left").withColumn("first", F.coalesce("first", "fp"))
     least = named.groupBy("first").agg(F.min("node").alias("component"))
     return fps.join(named.select("fp", "first").join(least, "first").select("fp", "component"), "fp", "left").select("id", "fp", "component")
@@ -544,24 +549,20 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def word_set_links(fps: DataFrame, tables: int, radius: int) -> DataFrame:
-    """Candidates (a, b) of rows (id, fps) by ball hashing over each of their ``tables`` fingerprints.
+def word_set_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Candidates (a, b) of rows (id, fps) by ball hashing over each of their fingerprints, all tables at once.
 
     Each row is paired with the first of its fingerprint, and each fingerprint's first row with
     that of the nearest earlier fingerprint it meets: at most two pairs a row and table.
     """
-    found = []
-    for t in range(tables):
-        own = fps.select(F.col("fps")[t].alias("fp"), "id")
-        distinct = written(own.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
-        near = ball_links(distinct, radius, nearest=True).withColumnRenamed("b", "c")
-        for old, new in (("a", "x"), ("c", "y")):
-            near = near.join(distinct.select(F.col("fp").alias(old), F.col("node").alias(new)), old)
-        equal = own.join(distinct, "fp").filter("id <> node").select(F.col("node").alias("x"), F.col("id").alias("y"))
-        found.append(written(near.select("x", "y").unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "links"))
-        removed(distinct)
-    out = written(reduce(DataFrame.unionByName, found).distinct(), "candidates")
-    removed(*found)
+    own = fps.select("id", F.posexplode("fps").alias("t", "fp"))
+    distinct = written(own.groupBy("t", "fp").agg(F.min("id").alias("node")), "distinct")
+    near = ball_links(distinct, radius, nearest=True).withColumnRenamed("b", "c")
+    for old, new in (("a", "x"), ("c", "y")):
+        near = near.join(distinct.select("t", F.col("fp").alias(old), F.col("node").alias(new)), ["t", old])
+    equal = own.join(distinct, ["t", "fp"]).filter("id <> node").select(F.col("node").alias("x"), F.col("id").alias("y"))
+    out = written(near.select("x", "y").unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    removed(distinct)
     return out
 
 
@@ -600,7 +601,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     summary = written(summaries(docs, "id", "text", tables, shingle), "summaries")
     marks = summary.select("id", "marks", "n")
-    near = word_set_links(summary.select("id", "fps"), tables, radius)
+    near = word_set_links(summary.select("id", "fps"), radius)
     linked = similar(near)
     groups = grouped(linked)
     removed(near)
