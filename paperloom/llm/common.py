@@ -185,6 +185,36 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix((prefix[ends] - prefix[starts]) * _power(_INVERSES[base], len(prefix))[starts] + (ends - starts).astype(np.uint64))
 
 
+class Lookup:
+    """Places of hashes in a sorted array of distinct hashes, by a table of their leading bits.
+
+    Slots with several hashes, a few per cent, fall back to a binary search.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(8, len(keys).bit_length() + 4)
+        self.shift = np.uint64(64 - bits)
+        slot = (keys >> self.shift).astype(np.int64)
+        self.first = np.full(1 << bits, -1, np.int32)
+        self.first[slot[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
+        self.several = np.zeros(1 << bits, bool)
+        self.several[slot[1:][slot[1:] == slot[:-1]]] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found) of each hash; the place of one not found is any."""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        slot = (h >> self.shift).astype(np.int64)
+        at = self.first[slot]
+        hit = (at >= 0) & (self.keys[at] == h)
+        more = np.flatnonzero(self.several[slot] & ~hit)
+        if len(more):
+            place = np.minimum(np.searchsorted(self.keys, h[more]), len(self.keys) - 1)
+            at[more], hit[more] = place, self.keys[place] == h[more]
+        return at, hit
+
+
 def crc_of_ids(ids: np.ndarray) -> np.ndarray:
     """zlib's crc32 of the decimal text of each id, unsigned."""
     import zlib

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, IS_BLANK, batch_of, mix, prefix_hashes, span_hashes, text_blocks, words_of, written
+from .common import ASCII_LOWER, IS_BLANK, Lookup, batch_of, mix, prefix_hashes, span_hashes, text_blocks, words_of, written
 
 WORDS = 4096
 CLUSTERS = 14
@@ -95,13 +95,21 @@ class Model:
     heavy_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     cut: int = 0  # the lowest level of counts among the heavy
 
+    def lookup(self, name: str) -> Lookup:
+        """The table of ``words`` or ``heavy``, made once a worker."""
+        made = self.__dict__.setdefault("_lookups", {})
+        if name not in made:
+            made[name] = Lookup(getattr(self, name))
+        return made[name]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_lookups"}
+
     def ids(self, s: Stream) -> tuple[np.ndarray, np.ndarray]:
         """The number of each token (a frequent word's, else WORDS + spelling) and its class."""
-        n = len(self.words)
-        at = np.minimum(np.searchsorted(self.words, s.h), max(0, n - 1))
-        known = (self.words[at] == s.h) if n else np.zeros(len(s.h), bool)
+        at, known = self.lookup("words").find(s.h)
         number = np.where(known, at, WORDS + s.spelling)
-        cls = np.where(known, self.word_class[at] if n else 0, CLUSTERS + 1 + s.spelling)
+        cls = np.where(known, self.word_class[at] if len(self.words) else 0, CLUSTERS + 1 + s.spelling)
         cls[s.h == np.uint64(END)] = CLUSTERS
         return number, cls
 
@@ -376,9 +384,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tokens: int, distinc
             own[frequent] += m.inside[before[frequent], number[frequent]] / np.log(10)
             spelled = cls > CLUSTERS
             own[spelled] -= m.spell_total[cls[spelled] - CLUSTERS - 1]
-            n = len(m.heavy)
-            at = np.minimum(np.searchsorted(m.heavy, s.h), max(0, n - 1))
-            hit = (m.heavy[at] == s.h) if n else np.zeros(len(s.h), bool)
+            at, hit = m.lookup("heavy").find(s.h)
             log = np.zeros(len(cls))
             log[hit] = np.log10(m.heavy_count[at[hit]] + 1.0)
             bins = lambda w: np.bincount(s.doc, w, docs_n)
