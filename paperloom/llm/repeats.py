@@ -14,7 +14,10 @@ per shard, and shards are cut so that all occurrences of a string meet in one of
    run ends alone. Streaming the text from one sample to the next gives every position's
    match with its neighbour in suffix order; neighbours with matches of ``length`` bytes or
    more form classes of equal strings, and all but the earliest of each class are marked.
-4. Marks return to the documents' own part of the table and the rest is hashed.
+4. An anchor with over ``HOT`` different segments, such as the edge of a passage that very many
+   documents hold, would fill one task. Its strings are hashed to 128 bits each where they lie,
+   and meet by hash in many shards; all but the earliest of each are marked.
+5. Marks return to the documents' own part of the table and the rest is hashed.
 
 Texts are copied once to the shared folder, one file a part, and parts are read where they are
 needed: no step shuffles whole texts. Tasks are bounded by parts and shards, whose number
@@ -28,6 +31,7 @@ ids sort first; rows of equal id are ordered by their place in the input; a text
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import batch_of, mix, partitions_for, prefix_hashes, scratch_path, span_hashes, text_blocks, written
 
 GRAM = 32
+#: Different segments of one anchor beyond which its strings are compared one by one, in many tasks.
+HOT = 1 << 14
 PIECE = 1 << 24
 _POS = np.uint64((1 << 26) - 1)
 
@@ -213,7 +219,7 @@ def _pieces(data, offsets, length):
         yield part, np.array([0, len(part)]), lo
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept binary]) of every row.
 
     ``spans`` are the removed byte ranges (start, end), in order.
@@ -259,9 +265,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new_anchor = np.append(True, ah[1:] != ah[:-1])
         new = new_anchor | np.append(True, sh[1:] != sh[:-1])
         kinds = np.bincount(np.cumsum(new_anchor) - 1, new)
-        several = kinds[np.cumsum(new_anchor) - 1] > 1
+        own_kinds = kinds[np.cumsum(new_anchor) - 1]
         out = []
-        for kind, who in ((0, ~new), (1, new & several)):  # 0: marked whole; 1: bytes wanted
+        # 0: marked whole; 1: bytes wanted; 2: hashes of strings wanted
+        for kind, who in ((0, ~new), (1, new & (own_kinds > 1) & (own_kinds <= hot)), (2, new & (own_kinds > hot))):
             for p in np.unique(parts[who]).tolist():
                 own = np.flatnonzero(who & (parts == p))
                 own = own[np.lexsort((start[own], rows[own]))]
@@ -329,6 +336,42 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append((part, shard, 0, int(w.sum()), _pack(r[w], s[w], e[w])))
         return pa.Table.from_batches([batch_of(_ASKED, **{f.name: list(c) for f, c in zip(_ASKED, zip(*out))})])
 
+    def strings(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = key[0].as_py()
+        want = np.concatenate([np.stack(_unpack(p, "ddd"), 1) for b in batches for p in b.column("packed").to_pylist()])
+        want = want[np.argsort(want[:, 0], kind="stable")]
+        base, held, size = 0, [], 0
+        for rows, data, offsets in text_blocks(_read(f"{path}/{names[part]}"), "text"):
+            n, ids = len(offsets) - 1, _ids(rows)
+            lo, hi = np.searchsorted(want[:, 0], (base, base + n))
+            w = want[lo:hi]
+            if len(w):
+                each = w[:, 2] + 1
+                start = np.repeat(w[:, 1], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                row = np.repeat(w[:, 0], each)
+                at = offsets[row - base] + start
+                held.append((*(span_hashes(prefix_hashes(data, k), at, at + length, k) for k in (0, 1)), ids[row - base], row, start))
+                size += len(at)
+                if size > 1_000_000:
+                    yield from _spread(held, part, shards)
+                    held, size = [], 0
+            base += n
+        if held:
+            yield from _spread(held, part, shards)
+
+    def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = np.repeat(table.column("part").to_numpy(), table.column("n").to_numpy())
+        got = [_unpack(p, "hhddd") for p in table.column("packed").to_pylist()]
+        h, check, ids, rows, start = (np.concatenate([g[k] for g in got]) for k in range(5))
+        order = np.lexsort((start, rows, parts, ids, check, h))
+        again = order[1:][(h[order[1:]] == h[order[:-1]]) & (check[order[1:]] == check[order[:-1]])]
+        out = []
+        for p in np.unique(parts[again]).tolist():
+            own = again[parts[again] == p]
+            own = own[np.lexsort((start[own], rows[own]))]
+            out.append((p, key[0].as_py(), 0, len(own), _pack(rows[own], start[own], np.zeros(len(own), np.int64))))
+        return pa.Table.from_batches([batch_of(_ASKED, **{f.name: list(c) for f, c in zip(_ASKED, zip(*out))})]) if out else _ASKED.empty_table()
+
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * with_text
     span_type = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(span_type))]
@@ -368,18 +411,35 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             base += n
         return pa.Table.from_batches([batch_of(schema, **{f.name: list(c) for f, c in zip(schema, zip(*out))})]) if out else schema.empty_table()
 
+    def by_part(df: DataFrame):
+        """Rows by part, over as many tasks as there are parts: what a part's task reads of the texts is not in the shuffle's size."""
+        return df.repartition(max(width, len(names)), "part").groupBy("part")
+
     met = written(files.mapInArrow(anchors, "shard long, part long, n long, packed binary").groupBy("shard").applyInArrow(meet, _ASKED_DDL), "anchors")
-    texts = met.filter("kind = 1").groupBy("part").applyInArrow(fetch, _BYTES_DDL)
+    texts = by_part(met.filter("kind = 1")).applyInArrow(fetch, _BYTES_DDL)
     found = texts.groupBy("shard").applyInArrow(compare, _ASKED_DDL)
+    crowded = met.filter("kind = 2")
+    if not crowded.isEmpty():
+        spread = by_part(crowded).applyInArrow(strings, "shard long, part long, n long, packed binary")
+        found = found.unionByName(spread.groupBy("shard").applyInArrow(settle, _ASKED_DDL))
     every = files.select("part", F.lit(-1).cast("long").alias("shard"), F.lit(0).cast("byte").alias("kind"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("packed"))
-    return met.filter("kind = 0").unionByName(found).unionByName(every).groupBy("part").applyInArrow(remove, result)
+    return by_part(met.filter("kind = 0").unionByName(found).unionByName(every)).applyInArrow(remove, result)
 
 
 def _sent(hold, part: int, shards: int):
     """Rows of a part's anchors, one a shard."""
     ah, sh, ids, rows, start, span = (np.concatenate([h[k] for h in hold]) for k in range(6))
-    to = (mix(ah) % np.uint64(shards)).astype(np.int64)
+    yield from _by_shard((mix(ah) % np.uint64(shards)).astype(np.int64), (ah, sh, ids, rows, start, span), part)
+
+
+def _spread(held, part: int, shards: int):
+    """Rows of a part's strings, one a shard of their hash."""
+    columns = [np.concatenate([h[k] for h in held]) for k in range(5)]
+    yield from _by_shard((mix(columns[0]) % np.uint64(shards)).astype(np.int64), columns, part)
+
+
+def _by_shard(to: np.ndarray, columns, part: int):
     order = np.argsort(to, kind="stable")
     met, cut = np.unique(to[order], return_index=True)
     for s, own in zip(met.tolist(), np.split(order, cut[1:])):
-        yield batch_of(_PART, shard=[s], part=[part], n=[len(own)], packed=[_pack(ah[own], sh[own], ids[own], rows[own], start[own], span[own])])
+        yield batch_of(_PART, shard=[s], part=[part], n=[len(own)], packed=[_pack(*(c[own] for c in columns))])
