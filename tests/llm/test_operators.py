@@ -141,7 +141,10 @@ def test_ball_links_keep_every_pair(spark, monkeypatch, hot, variants):
     """Also where prefixes are shared by several tasks, and groups are split."""
     monkeypatch.setattr(sh, "MAX_VARIANTS", variants)
     fps = sorted(map(_signed, _balls()))
-    links = sh.ball_links(spark.createDataFrame([(x,) for x in fps], "fp long"), group=8, hot=hot)
+    links = sh.ball_links(spark.createDataFrame([(t, x) for x in fps for t in (3, 5)], "t int, fp long"), group=8, hot=hot)
+    one, other = ({(r.a, r.b) for r in links.filter(F.col("t") == t).collect()} for t in (3, 5))
+    assert one == other and links.filter("t not in (3, 5)").isEmpty()
+    links = links.filter("t = 3").drop("t")
     found = {r.node: r.component for r in sh.components(links).collect()}
     number = {x: i for i, x in enumerate(fps)}
     want = components({i: x % 2**64 for x, i in number.items()})
@@ -166,7 +169,7 @@ def test_near_duplicates_of_many_copies_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sh.near_duplicates(df).collect()
     assert len(got) == len(rows) and {r.component for r in got if r.id < 2000 and r.id != 7} == {0} and {r.component for r in got if r.id > 2000} == {4999}
-    links = sh.ball_links(sh.fingerprints(df).select("fp").distinct())
+    links = sh.ball_links(sh.fingerprints(df).select(F.lit(0).alias("t"), "fp").distinct())
     assert links.count() <= 3
     # a row without an id joins the two beside it
     def flipped(x, bits):
@@ -312,6 +315,21 @@ def test_repeats_of_other_lengths_and_long_texts(spark, monkeypatch):
     assert [len(c[0]) for c in cuts] == [39, 39, 39, 10] and [c[2] for c in cuts] == [0, 30, 60, 90]
 
 
+def test_repeats_around_a_hot_anchor(spark):
+    """One passage in many different surroundings: its anchors' strings are settled one by one, in many shards."""
+    rng = random.Random(18)
+
+    def drawn(n):
+        return "".join(rng.choice("abcdefghijklmnop qrs") for _ in range(n))
+
+    short, long = drawn(60), drawn(150)
+    texts = [drawn(rng.randint(0, 90)) + (short if i % 3 else long) + drawn(rng.randint(0, 90)) for i in range(400)] + [long + "é" + short] * 2 + ["", short]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = sorted(repeats([(d, t.encode()) for d, t in enumerate(texts)]))
+    for hot in (rp.HOT, 20, 0):
+        assert _sorted(rp.without_repeats(df, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_run_index_matches():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, 500).astype(np.uint8)
