@@ -92,19 +92,21 @@ class Index:
         self.places = [grams[h] for h in self.hashes.tolist()]
 
     def hits(self, data: np.ndarray, offsets: np.ndarray):
-        """(words of each text, {text: (positions hit, items)})."""
+        """(words of each text, {text: (positions hit, items, those of them with a whole window)})."""
         low, starts, ends, first, hashes = split_words(data, offsets)
         raw = low.tobytes()
         seen: dict[tuple[int, int, int], int] = {}  # how far a text and an item have been compared, by the distance of their words
-        found: dict[int, tuple[set[int], set[str]]] = {}
+        found: dict[int, tuple[set[int], set[str], set[str]]] = {}
 
         def word(i):
             return raw[starts[i] : ends[i]]
 
-        def mark(doc, lo, hi, item):
-            positions, items = found.setdefault(doc, (set(), set()))
+        def mark(doc, lo, hi, item, whole):
+            positions, items, windows = found.setdefault(doc, (set(), set(), set()))
             positions.update(range(lo, hi))
             items.add(item)
+            if whole:
+                windows.add(item)
 
         g = gram_hashes(hashes, self.k)
         at = winnowed(g, self.window - self.k + 1)
@@ -124,7 +126,7 @@ class Index:
                         lo += 1
                     seen[doc, number, i - q] = i + hi
                     if lo + hi >= self.window:
-                        mark(doc, i - lo, i + hi, item)
+                        mark(doc, i - lo, i + hi, item, True)
         for n, phrases in self.short.items():
             g = gram_hashes(hashes, n)
             for i in np.flatnonzero(np.isin(g, np.array(sorted(phrases), np.uint64))).tolist():
@@ -133,7 +135,7 @@ class Index:
                     for number in phrases[int(g[i])]:
                         item, words = self.items[number]
                         if all(word(i + j) == words[j] for j in range(n)):
-                            mark(doc, i, i + n, item)
+                            mark(doc, i, i + n, item, False)
         return np.diff(first), found
 
 
@@ -202,8 +204,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = K, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns, in one pass a block."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, k: int = K, block: int = BLOCK, any_window: bool = False) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns, in one pass a block.
+
+    With ``any_window`` a row that holds a whole window of an item goes too, however long its
+    text. Phrases of items shorter than a window, which may be a common word, then still count
+    by their share of words only.
+    """
     spark, hits, names = docs.sparkSession, "__loom_hits", docs.columns
     rows = docs.withColumn(hits, F.array().cast("array<long>"))
     at = names.index(text_col)
@@ -217,8 +224,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                     old = part.column(part.num_columns - 1).to_pylist()
                     new = [sorted(set(o).union(found[i][0])) if i in found else o for i, o in enumerate(old)]
                     part = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(new, pa.list_(pa.int64()))], names=[*names, hits])
+                    gone = [any_window and i in found and bool(found[i][2]) for i in range(len(new))]
                     if last:
-                        part = part.filter(pa.array([not (x and 20 * len(x) >= m) for x, m in zip(new, n.tolist())]))
+                        gone = [g or bool(x and 20 * len(x) >= m) for g, x, m in zip(gone, new, n.tolist())]
+                    part = part.filter(pa.array([not g for g in gone], pa.bool_()))
                     yield part
 
         rows = rows.mapInArrow(run, rows.schema)

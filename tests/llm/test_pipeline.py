@@ -6,6 +6,7 @@ import pytest
 from brute import contaminated, crc, ids, lower
 
 import corpus_pipeline as cp
+from paperloom.llm import winnow
 from paperloom.llm.common import written
 from paperloom.llm.tokens import vocabulary
 
@@ -76,3 +77,31 @@ def test_run_of_awkward_and_empty_tables(spark, tmp_path):
             assert len({i % 7 for i in kept if i is not None and i < 40}) == len([i for i in kept if i is not None and i < 40]) == 6  # one of each text, and none of the benchmark's
         else:
             assert not pieces
+
+
+def test_a_benchmark_window_in_a_long_text_is_caught(spark, tmp_path):
+    """Passages under one word in twenty go as well; items under a window count by their share only."""
+    words = [f"w{i}" for i in range(2_000)]
+    item, other = [f"q{i}" for i in range(20)], [f"r{i}" for i in range(13)]
+    rows = [
+        (1, " ".join(words)),
+        (2, " ".join(words[:900] + item + words[900:])),
+        (3, " ".join(words[:900] + item[3:16] + words[900:])),  # one window
+        (4, " ".join(words[:900] + item[3:15] + words[900:])),  # a word less
+        (5, " ".join([*words, *other]).upper().replace(" ", ", ")),
+        (6, " ".join(words[:900] + ["yes"] + words[900:])),
+        (7, "yes it is"),
+        (8, " ".join(words[:900] + ["yes"] * 13 + words[900:])),  # short items side by side are no window
+        (9, None),
+        (None, " ".join([*words, *item])),
+        (None, "calm river"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "yes"), (4, None)], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [None, 1, 4, 6, 8, 9]
+    got = dict(cp.STAGES)["benchmark decontamination"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    for kept in (got, winnow.clean(docs, items, any_window=True, block=10)):  # one pass and several
+        found = [r.doc_id for r in kept.collect()]
+        assert sorted(found, key=lambda d: -1 if d is None else d) == want
