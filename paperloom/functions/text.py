@@ -252,5 +252,5 @@ def caption_or_sub(caption: Column, sub_caption: Column) -> Column:
 
 
 def image_text(content: Column) -> Column:
-    """Base64 of an image's bytes as stored."""
-    return F.base64(content)
+    """Base64 of an image's bytes as stored, on one line; Spark breaks it after 76 characters."""
+    return F.translate(F.base64(content), "\r\n", "")

@@ -1,5 +1,7 @@
 """Text and vector functions, and the decisions on odd inputs."""
 
+import base64
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +78,10 @@ def test_vectors(spark):
     assert small.shape == (2, 2) and {int(r.argmax()) for r in small} == {0, 1} and V.pooled(patches, 1) is patches
 
 
+def test_image_text_is_one_line(of):
+    assert of(lambda c: T.image_text(c.cast("binary")), "x" * 100) == base64.b64encode(b"x" * 100).decode()
+
+
 def test_agent_rounds():
     def model(*replies):
         return agents.ScriptedModel(list(replies))
