@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -36,6 +37,24 @@ def test_same_rows(spark, duck, name):
     assert _rows(entry.queries()[name](spark, DIR).toArrow()) == _rows(duck.sql(entry.oracle_sql()[name]).to_arrow_table())
 
 
+@pytest.fixture(scope="module")
+def far(spark, tmp_path_factory):
+    """A few documents, some of whose ids are too long for five digits and alike in the first five."""
+    import duckdb
+
+    path = str(tmp_path_factory.mktemp("far"))
+    d = spark.read.parquet(f"{DIR}/documents.parquet").filter("doc_id < 20").withColumn("doc_id", F.expr("case when doc_id < 8 then doc_id + 10000 else doc_id + 100000 end"))
+    d.coalesce(1).write.parquet(f"{path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    return path, c
+
+
+@pytest.mark.parametrize("name", ["paper_cells", "paper_dense_cells", "paper_figures", "table_files", "table_groups"])
+def test_papers_of_one_shown_id(spark, far, name):
+    assert _rows(entry.queries()[name](spark, far[0]).toArrow()) == _rows(far[1].sql(entry.oracle_sql()[name]).to_arrow_table())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
