@@ -26,7 +26,7 @@ def require(spark: SparkSession, *paths: str) -> None:
 
 def read_tsv(spark: SparkSession, path: str | list[str], schema: str, na: tuple[str, ...] = ()) -> DataFrame:
     """All-text table with a header; the words in ``na`` become empty, by default none do."""
-    df = spark.read.schema(schema).options(sep="\t", header=True, quote='"', escape='"', multiLine=True, enforceSchema=False).csv(path)
+    df = spark.read.schema(schema).options(sep="\t", header=True, quote='"', escape='"', multiLine=True, enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, charToEscapeQuoteEscaping="\uffff").csv(path)
     df = df.fillna("")
     return df.replace(list(na), "") if na else df
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+#: White space at the ends of a value belongs to it; Spark would cut it off.
+_TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "charToEscapeQuoteEscaping": "\uffff"}
 
 
 def append_tsv(df: DataFrame, path: str) -> None:

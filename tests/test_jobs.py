@@ -27,6 +27,14 @@ def test_tsv_round_trip(spark, tmp_path):
         files.require(spark, path, str(tmp_path / "none"))
 
 
+def test_tsv_keeps_every_character(spark, tmp_path):
+    rng, path = np.random.default_rng(5), str(tmp_path / "t")
+    texts = [" a", "a\n", "\ta\t", "\r", " ", '"\x00', "\x00\n", *["".join(rng.choice(list(' \t\n\r"\\\0ab,'), 5)) for _ in range(500)]]
+    rows = [(str(i), texts[-i], "", t) for i, t in enumerate(texts)]
+    sinks.append_tsv(spark.createDataFrame(rows, schemas.GENERATED), path)
+    assert sorted(map(tuple, files.read_tsv(spark, path, schemas.GENERATED).collect())) == sorted(rows)
+
+
 def test_corpus_and_images(spark, tmp_path):
     root = tmp_path / "c"
     (root / "figures" / "24").mkdir(parents=True)
