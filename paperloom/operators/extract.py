@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .html_tree import Node, has, parse
+from .html_tree import Node, closed_references, has, parse
 
 _NOTE = pa.struct([("marker", pa.string()), ("text", pa.string())])
 _CELL = pa.struct([("row", pa.int32()), ("col", pa.int32()), ("text", pa.string()), ("is_header", pa.bool_()), ("colspan", pa.int32()), ("rowspan", pa.int32())])
@@ -195,9 +195,9 @@ def tables_of(root: Node, paper: str) -> list[dict]:
     return records
 
 
-def page_record(paper: str, url: str, html: str, rule: str | None = "reference", any_paragraph: bool = False) -> dict:
-    """All that one page holds."""
-    root = parse(html)
+def page_record(paper: str, url: str, html: str, rule: str | None = "reference", any_paragraph: bool = False, closed: bool = False) -> dict:
+    """All that one page holds. ``closed`` reads no reference without its semicolon; by default, as in browsers, ``&amp`` is one."""
+    root = parse(closed_references(html or "") if closed else html)
     title, abstract = root.find(has("h1", "ltx_title_document")), root.find(has("div", "ltx_abstract"))
     first = abstract.find(has("p", "ltx_p")) if abstract else None
     if any_paragraph:
@@ -211,14 +211,14 @@ def page_record(paper: str, url: str, html: str, rule: str | None = "reference",
     }
 
 
-def page_records(pages: DataFrame, rule: str | None = "reference", any_paragraph: bool = False, id_col: str = "page_id") -> DataFrame:
+def page_records(pages: DataFrame, rule: str | None = "reference", any_paragraph: bool = False, id_col: str = "page_id", closed: bool = False) -> DataFrame:
     """One row per page of (page_id, url, html): nested figures, tables, paragraphs and links."""
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64).to_pylist()
-                rows = [page_record(r["paper_id"], r["url"], r["html"], rule, any_paragraph) for r in part]
+                rows = [page_record(r["paper_id"], r["url"], r["html"], rule, any_paragraph, closed) for r in part]
                 yield pa.RecordBatch.from_pylist(rows, RECORD)
 
     rows = pages.select(F.col(id_col).cast("string").alias("paper_id"), "url", "html").mapInArrow(run, RECORD_DDL)

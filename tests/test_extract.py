@@ -33,6 +33,12 @@ def test_title_and_abstract(record):
     assert record["links"] == ["https://example.org/up"]
 
 
+def test_references_without_semicolon():
+    page = "<h1>a &amp;&amp;&amp</h1><p>&lt;b &copy &ampx; &#38; &#38 & c&quot</p>"
+    told = lambda **x: [(r["title"], r["paragraphs"][0]["text"]) for r in [X.page_record("p", "", page, any_paragraph=True, **x)]][0]
+    assert told() == ("a &&&", '<b © &x; & & & c"') and told(closed=True) == ("a &&&amp", "<b &copy &ampx; & &#38 & c&quot")
+
+
 def test_figures(record):
     rows = [(f["figure_id"], f["sub_id"], f["sub_caption"], f["source"]) for f in record["figures"]]
     assert rows == [
