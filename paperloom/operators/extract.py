@@ -23,13 +23,16 @@ _CELL = pa.struct([("row", pa.int32()), ("col", pa.int32()), ("text", pa.string(
 _FIGURE = pa.struct([(k, pa.string()) for k in ("figure_id", "sub_id", "html_id", "source", "caption", "sub_caption")] + [("footnotes", pa.list_(_NOTE))])
 _TABLE = pa.struct([(k, pa.string()) for k in ("table_id", "html_id")] + [("table_num", pa.int32())] + [(k, pa.string()) for k in ("sub_id", "caption", "sub_caption")] + [("n_rows", pa.int32()), ("n_cols", pa.int32()), ("cells", pa.list_(_CELL)), ("footnotes", pa.list_(_NOTE))])
 _PARA = pa.struct([("ord", pa.int32()), ("text", pa.string())])
+PARTS = ("title", "abstract", "figures", "tables", "paragraphs", "links")
 RECORD = pa.schema([("paper_id", pa.string()), ("url", pa.string()), ("title", pa.string()), ("abstract", pa.string()), ("figures", pa.list_(_FIGURE)), ("tables", pa.list_(_TABLE)), ("paragraphs", pa.list_(_PARA)), ("links", pa.list_(pa.string()))])
 _NOTE_DDL = "struct<marker:string,text:string>"
-RECORD_DDL = (
-    f"paper_id string, url string, title string, abstract string, figures array<struct<figure_id:string,sub_id:string,html_id:string,source:string,caption:string,sub_caption:string,footnotes:array<{_NOTE_DDL}>>>, "
-    f"tables array<struct<table_id:string,html_id:string,table_num:int,sub_id:string,caption:string,sub_caption:string,n_rows:int,n_cols:int,cells:array<struct<row:int,col:int,text:string,is_header:boolean,colspan:int,rowspan:int>>,footnotes:array<{_NOTE_DDL}>>>, "
-    "paragraphs array<struct<ord:int,text:string>>, links array<string>"
-)
+_DDL = {
+    "paper_id": "string", "url": "string", "title": "string", "abstract": "string",
+    "figures": f"array<struct<figure_id:string,sub_id:string,html_id:string,source:string,caption:string,sub_caption:string,footnotes:array<{_NOTE_DDL}>>>",
+    "tables": f"array<struct<table_id:string,html_id:string,table_num:int,sub_id:string,caption:string,sub_caption:string,n_rows:int,n_cols:int,cells:array<struct<row:int,col:int,text:string,is_header:boolean,colspan:int,rowspan:int>>,footnotes:array<{_NOTE_DDL}>>>",
+    "paragraphs": "array<struct<ord:int,text:string>>", "links": "array<string>",
+}
+RECORD_DDL = ", ".join(f"{k} {v}" for k, v in _DDL.items())
 
 
 def squeeze(s: str) -> str:
@@ -61,7 +64,7 @@ def noted_text(node: Node) -> tuple[str, list[dict]]:
             return math_text(x)
         if x.tag == "table":
             return flat_table(x)
-        if {"ltx_note", "ltx_role_footnote"} <= set(x.classes):
+        if "ltx_note" in x.classes and "ltx_role_footnote" in x.classes:
             mark, body = x.find(has("sup", "ltx_note_mark")), x.find(has("span", "ltx_note_content"))
             marker = squeeze(mark.text()) if mark else "?"
             parts = [] if body is None else [c for c in body.children if isinstance(c, str) or not ("ltx_tag_note" in c.classes or (c.tag == "sup" and "ltx_note_mark" in c.classes))]
@@ -100,13 +103,19 @@ def label_panels(panel_captions: list[str], outer: str) -> list[tuple[str, str]]
     return [(letter or (chr(97 + i) if i < 26 else f"p{i}"), c) for i, (letter, c) in enumerate(named)]
 
 
-def is_equation(figure: Node, rule: str) -> bool:
+def is_equation(figure: Node, rule: str, caption: str) -> bool:
     """Whether a figure shows an equation. ``reference`` counts any formula inside, ``strict`` only outside captions."""
     def formula(n: Node) -> bool:
-        hit = any(re.search("ltx_eqn|ltx_equation|ltx_Math", c) for c in n.classes)
+        hit = any("ltx_eqn" in c or "ltx_equation" in c or "ltx_Math" in c for c in n.classes)
         return hit and (rule == "reference" or not n.inside("figcaption"))
 
-    return bool(figure.find(formula)) or not figure.find(has("img")) or bool(re.match(r"(?i)\s*equation\b", own_caption(figure)[0]))
+    below = figure.walk()
+    return any(n.classes and formula(n) for n in below) or not any(n.tag == "img" for n in below) or bool(re.match(r"(?i)\s*equation\b", caption))
+
+
+def outer_figures(root: Node, cls: str) -> list[Node]:
+    """Figures of a class that are no panels."""
+    return [n for n in root.walk() if n.tag == "figure" and cls in n.classes and "ltx_figure_panel" not in n.classes]
 
 
 def number_in(caption: str, kind: str) -> int | None:
@@ -117,11 +126,11 @@ def number_in(caption: str, kind: str) -> int | None:
 def figures_of(root: Node, url: str, rule: str | None = "reference") -> list[dict]:
     """A row per figure or panel; ``rule`` None keeps equations."""
     rows, count = [], 0
-    for figure in root.find_all(lambda n: has("figure", "ltx_figure")(n) and "ltx_figure_panel" not in n.classes):
-        if rule and is_equation(figure, rule):
+    for figure in outer_figures(root, "ltx_figure"):
+        caption, notes = own_caption(figure)
+        if rule and is_equation(figure, rule, caption):
             continue
         count += 1
-        caption, notes = own_caption(figure)
         found = number_in(caption, "figure")
         number = count if found is None else found
 
@@ -165,7 +174,7 @@ def grid_of(table: Node) -> tuple[list[dict], int, int, list[dict]]:
 def tables_of(root: Node, paper: str) -> list[dict]:
     """A record per logical table or panel. A wrapper's parts begin at its direct captions."""
     records, count = [], 0
-    for wrapper in root.find_all(lambda n: has("figure", "ltx_table")(n) and "ltx_figure_panel" not in n.classes):
+    for wrapper in outer_figures(root, "ltx_table"):
         groups: list[tuple[Node, list[Node]]] = []
         for child in wrapper.elements():
             if child.tag == "figcaption":
@@ -195,34 +204,47 @@ def tables_of(root: Node, paper: str) -> list[dict]:
     return records
 
 
-def page_record(paper: str, url: str, html: str, rule: str | None = "reference", any_paragraph: bool = False, closed: bool = False) -> dict:
-    """All that one page holds. ``closed`` reads no reference without its semicolon; by default, as in browsers, ``&amp`` is one."""
+def paragraphs_of(root: Node, any_paragraph: bool = False) -> list[dict]:
+    """Paragraphs outside figures that hold text, by their place among all."""
+    found = [n for n in root.walk() if n.tag == "p" and (any_paragraph or "ltx_p" in n.classes) and not n.inside("figure")]
+    texts = [squeeze(math_text(p)) for p in found]
+    return [{"ord": i, "text": t} for i, t in enumerate(texts) if t]
+
+
+def page_record(paper: str, url: str, html: str, rule: str | None = "reference", any_paragraph: bool = False, closed: bool = False, parts: tuple[str, ...] = PARTS) -> dict:
+    """All that one page holds, or the named parts. ``closed`` reads no reference without its semicolon; by default, as in browsers, ``&amp`` is one."""
     root = parse(closed_references(html or "") if closed else html)
-    title, abstract = root.find(has("h1", "ltx_title_document")), root.find(has("div", "ltx_abstract"))
-    first = abstract.find(has("p", "ltx_p")) if abstract else None
-    if any_paragraph:
-        title = title or root.find(has("h1"))
-    paragraphs = root.find_all(lambda n: n.tag == "p" and (any_paragraph or "ltx_p" in n.classes) and not n.inside("figure"))
-    texts = [squeeze(math_text(p)) for p in paragraphs]
-    return {
-        "paper_id": paper, "url": url, "title": squeeze(math_text(title)) if title else "", "abstract": squeeze(math_text(first)) if first else "",
-        "figures": figures_of(root, url, rule), "tables": tables_of(root, paper), "paragraphs": [{"ord": i, "text": t} for i, t in enumerate(texts) if t],
-        "links": [urljoin(url or "", a.attrs["href"]) for a in root.find_all(lambda n: n.tag == "a" and bool(n.attrs.get("href")))],
+
+    def title():
+        found = root.find(has("h1", "ltx_title_document")) or (root.find(has("h1")) if any_paragraph else None)
+        return squeeze(math_text(found)) if found else ""
+
+    def abstract():
+        found = root.find(has("div", "ltx_abstract"))
+        first = found.find(has("p", "ltx_p")) if found else None
+        return squeeze(math_text(first)) if first else ""
+
+    make = {
+        "title": title, "abstract": abstract, "figures": lambda: figures_of(root, url, rule), "tables": lambda: tables_of(root, paper), "paragraphs": lambda: paragraphs_of(root, any_paragraph),
+        "links": lambda: [urljoin(url or "", a.attrs["href"]) for a in root.walk() if a.tag == "a" and a.attrs.get("href")],
     }
+    return {"paper_id": paper, "url": url} | {k: make[k]() for k in parts}
 
 
-def page_records(pages: DataFrame, rule: str | None = "reference", any_paragraph: bool = False, id_col: str = "page_id", closed: bool = False) -> DataFrame:
-    """One row per page of (page_id, url, html): nested figures, tables, paragraphs and links."""
+def page_records(pages: DataFrame, rule: str | None = "reference", any_paragraph: bool = False, id_col: str = "page_id", closed: bool = False, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """One row per page of (page_id, url, html): nested figures, tables, paragraphs and links, or only the named parts."""
+    names = ["paper_id", "url", *parts]
+    schema = pa.schema([RECORD.field(k) for k in names])
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64).to_pylist()
-                rows = [page_record(r["paper_id"], r["url"], r["html"], rule, any_paragraph, closed) for r in part]
-                yield pa.RecordBatch.from_pylist(rows, RECORD)
+                rows = [page_record(r["paper_id"], r["url"], r["html"], rule, any_paragraph, closed, parts) for r in part]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    rows = pages.select(F.col(id_col).cast("string").alias("paper_id"), "url", "html").mapInArrow(run, RECORD_DDL)
-    return rows.withColumn("title", T.clean_title(F.col("title")))
+    rows = pages.select(F.col(id_col).cast("string").alias("paper_id"), "url", "html").mapInArrow(run, ", ".join(f"{k} {_DDL[k]}" for k in names))
+    return rows.withColumn("title", T.clean_title(F.col("title"))) if "title" in parts else rows
 
 
 def captions(records: DataFrame) -> DataFrame:
@@ -242,8 +264,8 @@ def _label():
     return F.when(label != "", label).otherwise(F.col("table_num").cast("string"))
 
 
-def _table_rows(records: DataFrame) -> DataFrame:
-    return records.select("paper_id", "paragraphs", F.explode("tables").alias("t")).select("paper_id", "paragraphs", "t.*").withColumn("label", _label())
+def _table_rows(records: DataFrame, *kept: str) -> DataFrame:
+    return records.select("paper_id", *kept, F.explode("tables").alias("t")).select("paper_id", *kept, "t.*").withColumn("label", _label())
 
 
 def tables(records: DataFrame, references: bool = True, numeric: bool = False) -> DataFrame:
@@ -251,7 +273,7 @@ def tables(records: DataFrame, references: bool = True, numeric: bool = False) -
 
     A page's tables and paragraphs lie in one record, so nothing is joined or parsed again.
     """
-    rows = _table_rows(records)
+    rows = _table_rows(records, *["paragraphs"] * references)
     if references:
         name = F.col("table_num").cast("string") if numeric else F.col("label")
         rows = rows.withColumn("references", F.transform(_citing(T.table_mention(name, numeric)), lambda p: p["text"]))
@@ -266,7 +288,7 @@ def figure_references(records: DataFrame) -> DataFrame:
 
 def table_references(records: DataFrame) -> DataFrame:
     """(paper_id, label, ord, text) of the distinct paragraphs that mention a table."""
-    rows = _table_rows(records).select("paper_id", "label", F.explode(_citing(T.table_mention(F.col("label")))).alias("p"))
+    rows = _table_rows(records, "paragraphs").select("paper_id", "label", F.explode(_citing(T.table_mention(F.col("label")))).alias("p"))
     return rows.select("paper_id", "label", "p.ord", "p.text").distinct()
 
 

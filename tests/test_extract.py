@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from paperloom.operators import extract as X
+from paperloom.operators import html_tree
 from paperloom.operators.html_tree import has, parse
 
 PAGE = """<html><h1 class="ltx_title ltx_title_document">On <math alttext="x^2">x2</math> things<!-- no --> Journal: none</h1>
@@ -85,3 +86,39 @@ def test_cells_never_overlap(rows):
 def test_tree_closes_open_elements():
     root = parse("<p>a<p>b<ul><li>c<li>d</ul><script>x</script><!-- y --><br>e")
     assert [p.text() for p in root.find_all(has("p"))][0] == "a" and len(root.find_all(has("li"))) == 2 and "x" not in root.text()
+
+
+def _flat(node):
+    return [(c.tag, c.attrs, c.classes, [d.tag for d in c.walk()], _flat(c)) if not isinstance(c, str) else c for c in node.children]
+
+
+def test_plain_pages_do_without_the_tokenizer(monkeypatch):
+    page = PAGE.replace("<!-- no -->", "<!-- no --><script>a</p>b</script>")
+    slow = html_tree._Builder()
+    slow.feed(page)
+    for node in reversed(slow.root.order):
+        node.parent.end = max(node.parent.end, node.end)
+    expected = X.page_record("p", "u", page)
+    monkeypatch.setattr(html_tree._Builder, "feed", None)
+    assert _flat(parse(page)) == _flat(slow.root) and X.page_record("p", "u", page) == expected
+
+
+@given(st.lists(st.sampled_from('<p>|</p>|<p class="a  b">|<td>|<tr>|</tr>|<table>|</table>|<br/>|<img src="a&amp;b&c"/>|<li>|text|&amp;|&lt|<|>|"|<!-- c -->|<!--->|<!-- > -->|<!doctype x>|<script>|</script >|<style>|<A HREF="X">|</A>|<a b=c>|<a b="<">|<a b="c"d="e">|<?pi?>|</>|<p/>|<a b="1" b="2">|</p x>'.split("|")), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_quick_trees_are_the_tokenizers(bits):
+    page = "".join(bits)
+    slow = html_tree._Builder()
+    slow.feed(page)
+    slow.close()
+    for node in reversed(slow.root.order):
+        node.parent.end = max(node.parent.end, node.end)
+    assert html_tree._quick(page) is None or _flat(parse(page)) == _flat(slow.root)
+
+
+def test_only_the_named_parts(spark, monkeypatch):
+    full = X.page_record("p", "u", PAGE)
+    monkeypatch.setattr(X, "tables_of", None)
+    assert X.page_record("p", "u", PAGE, parts=("figures", "title")) == {k: full[k] for k in ("paper_id", "url", "figures", "title")}
+    monkeypatch.undo()
+    records = X.page_records(spark.createDataFrame([("p", "u", PAGE)], "page_id string, url string, html string"), parts=("tables",))
+    assert records.columns == ["paper_id", "url", "tables"] and X.tables(records, references=False).count() == len(full["tables"])
